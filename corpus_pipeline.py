@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import lines, packing, pii, toxicity
+from quillspark.llm import lines, near_duplicates, packing, pii, toxicity
 from quillspark.llm.common import saved, table
 from quillspark.llm.queries import WORD_VOCABULARY
 
@@ -23,6 +23,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(docs)
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.keep_one(docs)
+
+
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.mask(docs)
 
@@ -34,6 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", reject_toxic),
     ("line_dedup", dedup_lines),
+    ("jaccard_join", keep_one_of_near_copies),
     ("pii", mask_personal_data),
     ("best_fit_packing", pack),
 ]
