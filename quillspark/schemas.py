@@ -1,0 +1,27 @@
+"""Declared schemas of the stage tables."""
+
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
+
+
+def _s(*fields: tuple[str, object]) -> StructType:
+    return StructType([StructField(name, kind, True) for name, kind in fields])
+
+
+STRINGS, DOUBLES = ArrayType(StringType()), ArrayType(DoubleType())
+RAW_REVIEWS = _s(("doc_id", LongType()), ("review", StringType()), ("label", IntegerType()))
+CORPUS = _s(*((f.name, f.dataType) for f in RAW_REVIEWS), ("text_clean", StringType()), ("tokens", STRINGS), ("n_tokens", IntegerType()))
+EMBEDDINGS = _s(("doc_id", LongType()), ("embedding", ArrayType(FloatType())))
+TOPICS = _s(("doc_id", LongType()), ("label", IntegerType()), ("topic_raw", IntegerType()), ("topic", IntegerType()))
+TOPIC_INFO = _s(("topic", IntegerType()), ("n", LongType()), ("words", STRINGS), ("word_scores", DOUBLES))
+TOPIC_SENTIMENT = _s(
+    ("topic", IntegerType()), ("n", LongType()), ("n_pos", LongType()), ("share_pos", DoubleType()), ("diff_pp", DoubleType()), ("ci_low", DoubleType()), ("ci_high", DoubleType()),
+    ("p_value", DoubleType()), ("q_value", DoubleType()), ("significant", BooleanType()), ("direction", StringType()),
+)
+RANKED_WORDS = _s(("model", StringType()), ("topic", IntegerType()), ("rank", IntegerType()), ("word", StringType()))
+LDA_GRID = _s(("k", IntegerType()), ("n_topics", IntegerType()), ("npmi", DoubleType()), ("c_v", DoubleType()), ("diversity", DoubleType()), ("coverage", DoubleType()), ("fit_seconds", DoubleType()))
+LABEL_ANSWER = _s(("label", StringType()), ("description", StringType()), ("kind", StringType()))
+LABELS = _s(("topic", IntegerType()), *((f.name, f.dataType) for f in LABEL_ANSWER), ("keywords", STRINGS))
+VALIDATION = _s(
+    ("topic", IntegerType()), ("keywords", StringType()), ("example", StringType()), ("llm_label", StringType()), ("llm_description", StringType()), ("llm_kind", StringType()),
+    ("human_label", StringType()), ("match", DoubleType()),
+)
