@@ -5,6 +5,9 @@ rarest tokens first, hardly a set has such a token that any other set knows. How
 without a row per token: documents are dealt into chunks, a chunk sends its tokens in one sorted array per range of
 hashes, and gets back one byte per token. A frequent token so costs an entry per chunk, not per document.
 
+Equal texts are found first, by hashes alone, and only one of them is counted. A token of one text alone can be in no
+intersection, so two sets also need few enough of such tokens between them.
+
 Sets that are left are linked in two ways. Sets with equal smallest hashes are compared with the leaders of their
 group, which ties large groups of near copies together at the cost of their size. Then all pairs of different
 components that share prefix tokens under every order are verified, so no link between components is lost.
@@ -29,11 +32,11 @@ PERCENT = 80
 CHUNK_DOCS = 2000
 RANGE_DOCS = 4000
 #: Members of a group of equal smallest hashes that one task compares with their leaders.
-GROUP = 2048
+GROUP = 512
 _SEED = 55
 _LEADERS = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
 _ORDERS = 3
-_SET_FIELDS = "doc_id long, text_hash long, n long, h1 long, h2 long, tokens binary, prefixes binary"
+_SET_FIELDS = "doc_id long, text_hash long, n long, known long, h1 long, h2 long, tokens binary, prefixes binary"
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -76,14 +79,22 @@ def _chunk_tokens(sets: list[np.ndarray], ranges_: int) -> tuple[np.ndarray, np.
     return tokens, counts, np.searchsorted(_range_of(tokens, ranges_), np.arange(ranges_ + 1))
 
 
+def _copies_in(frame: pa.Table, listed: list[bytes]) -> np.ndarray:
+    """Which rows of a chunk repeat the text of a smaller document."""
+    ids = frame.column("doc_id").to_pylist()
+    known = set(np.frombuffer(b"".join(listed), np.int64).tolist())
+    return np.array([i is None or i in known for i in ids], bool)
+
+
 def _ask(words: int, ranges_: int):
-    def run(frame: pa.Table) -> pa.Table:
-        tokens, counts, bounds = _chunk_tokens(_sets_of(frame, words), ranges_)
+    def run(frame: pa.Table, copies: pa.Table) -> pa.Table:
+        again = _copies_in(frame, copies.column("ids").to_pylist())
+        tokens, counts, bounds = _chunk_tokens([s for s, c in zip(_sets_of(frame, words), again) if not c], ranges_)
         some = [r for r in range(ranges_) if bounds[r + 1] > bounds[r]]
         low = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         few = np.minimum(counts, 65535).astype(np.uint16)
         cut = lambda v, r: v[bounds[r] : bounds[r + 1]].tobytes()
-        return pa.table({"range": pa.array(some, pa.int32()), "chunk": pa.array([frame.column("chunk")[0].as_py()] * len(some), pa.int32()), "tokens": pa.array([cut(low, r) for r in some], pa.binary()), "counts": pa.array([zlib.compress(cut(few, r), 1) for r in some], pa.binary())})
+        return pa.table({"range": pa.array(some, pa.int32()), "chunk": pa.array([frame.column("chunk")[0].as_py() if frame.num_rows else 0] * len(some), pa.int32()), "tokens": pa.array([cut(low, r) for r in some], pa.binary()), "counts": pa.array([zlib.compress(cut(few, r), 1) for r in some], pa.binary())})
 
     return run
 
@@ -103,38 +114,55 @@ def _survivors(words: int, ranges_: int, percent: int):
     """All documents with the size and the hash of their set; the set and its prefixes where it may have a partner."""
 
     def run(frame: pa.Table, answers: pa.Table) -> pa.Table:
+        asked = [(r, b) for r, b in zip(answers.column("range").to_pylist(), answers.column("kinds").to_pylist())]
+        again = _copies_in(frame, [b for r, b in asked if r < 0])
         sets = _sets_of(frame, words)
-        tokens, _, bounds = _chunk_tokens(sets, ranges_)
+        tokens, _, bounds = _chunk_tokens([s for s, c in zip(sets, again) if not c], ranges_)
         kinds = np.zeros(len(tokens), np.uint8)
-        for r, blob in zip(answers.column("range").to_pylist(), answers.column("kinds").to_pylist()):
-            kinds[bounds[r] : bounds[r + 1]] = np.frombuffer(zlib.decompress(blob), np.uint8)
-        h1, h2, kept, prefixes = [], [], [], []
-        for own in sets:
+        for r, blob in asked:
+            if r >= 0:
+                kinds[bounds[r] : bounds[r + 1]] = np.frombuffer(zlib.decompress(blob), np.uint8)
+        h1, h2, known, kept, prefixes = [], [], [], [], []
+        for own, copy in zip(sets, again):
             n = len(own)
             h1.append(int(mix64(own).sum(dtype=np.uint64).astype(np.int64)) if n else 0)
             h2.append(int(mix64(own ^ np.uint64(_SEED)).sum(dtype=np.uint64).astype(np.int64)) if n else 0)
             first = n - needed(n, percent) + 1
-            kind = kinds[np.searchsorted(tokens, own)]
-            if not n or np.count_nonzero(kind == 0) >= first:
+            kind = kinds[np.searchsorted(tokens, own)] if n and not copy else np.zeros(n, np.uint8)
+            known.append(int(np.count_nonzero(kind)))
+            if not n or n - known[-1] >= first:
                 kept.append(None), prefixes.append(None)
                 continue
             orders = [np.lexsort((own, kind))[:first], np.lexsort((mix64(own), kind))[:first], np.argsort(mix64(own ^ np.uint64(_LEADERS[0])))[:first]]
             kept.append(own.tobytes())
             prefixes.append(b"".join(np.array([len(x)], np.uint64).tobytes() + x.tobytes() for o in orders for x in [own[o][kind[o] > 0]]))
-        columns = [frame.column("doc_id"), frame.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(kept, pa.binary()), pa.array(prefixes, pa.binary())]
+        columns = [frame.column("doc_id"), frame.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(v, pa.int64()) for v in (known, h1, h2)), pa.array(kept, pa.binary()), pa.array(prefixes, pa.binary())]
         return pa.table(columns, names=[f.split()[0] for f in _SET_FIELDS.split(", ")])
 
     return run
 
 
-def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n, h1, h2, and tokens with prefixes of the sets that may have a partner."""
+def equal_texts(docs: DataFrame) -> DataFrame:
+    """u, v: each document and the smallest one with the same text, where that is another."""
+    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("u"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"))
+    first = hashed.groupBy("h1", "h2").agg(F.min("u").alias("v"), F.max("u").alias("last")).where("v < last").select("h1", "h2", "v")
+    return hashed.join(first, ["h1", "h2"]).where("u <> v").select("u", "v").distinct()
+
+
+def _chunk_of(chunks: int, column: str) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(chunks)).cast("int").alias("chunk")
+
+
+def document_sets(docs: DataFrame, copies: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n, known, h1, h2, and tokens with prefixes of the sets that may have a partner."""
     n_docs = docs.count()
     chunks, ranges_ = max(1, -(-n_docs // CHUNK_DOCS)), max(1, -(-n_docs // RANGE_DOCS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)).cast("int"))
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(words, ranges_), "range int, chunk int, tokens binary, counts binary")
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), _chunk_of(chunks, "doc_id"))
+    left_out = copies.select(_chunk_of(chunks, "u"), "u").groupBy("chunk").applyInArrow(lambda t: pa.table({"chunk": t.column("chunk").slice(0, 1), "ids": pa.array([t.column("u").to_numpy().astype(np.int64).tobytes()], pa.binary())}), "chunk int, ids binary")
+    left_out = saved(left_out, "text-copies")
+    asked = dealt.groupBy("chunk").cogroup(left_out.groupBy("chunk")).applyInArrow(_ask(words, ranges_), "range int, chunk int, tokens binary, counts binary")
     answers = asked.groupBy("range").applyInPandas(_answer, "chunk int, range int, kinds binary")
+    answers = answers.unionByName(left_out.select("chunk", F.lit(-1).alias("range"), F.col("ids").alias("kinds")))
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_survivors(words, ranges_, percent), _SET_FIELDS)
 
 
@@ -179,43 +207,54 @@ def _group_links(sets: DataFrame, percent: int) -> DataFrame:
     return split.groupBy("turn", "low", "salt").applyInPandas(_leaders(percent), "u long, v long")
 
 
+def _prefixes(blob: bytes) -> list[np.ndarray]:
+    data, at, out = np.frombuffer(blob, np.uint64), 0, []
+    for _ in range(_ORDERS):
+        size = int(data[at])
+        out.append(data[at + 1 : at + 1 + size])
+        at += 1 + size
+    return out
+
+
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of the prefix under the first order."""
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
-        for rep, n, component, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            data, at = np.frombuffer(blob, np.uint64), 0
-            for order in range(_ORDERS):
-                size = int(data[at])
-                own = data[at + 1 : at + 1 + size].view(np.int64).tolist()
-                at += 1 + size
-                for to, v in zip(rows, ([order] * size, own, [rep] * size, [n] * size, [component] * size)):
-                    to += v
-        types = [pa.int32()] + [pa.int64()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=["order", "token", "rep", "n", "component"])
+        first = [_prefixes(b)[0].view(np.int64) for b in batch.column(4).to_pylist()]
+        rows = np.repeat(np.arange(len(first)), [len(x) for x in first])
+        tokens = np.concatenate([*first, np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens), *(batch.column(k).take(pa.array(rows)) for k in range(4))], names=["token", "rep", "n", "known", "component"])
 
 
 def _verified(percent: int):
+    """Pairs that share a prefix token under the other orders too, and then enough of their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
-            ok = [i for i in range(len(a)) if _linked(np.frombuffer(left[i], np.uint64), np.frombuffer(right[i], np.uint64), percent)]
+            a, b, left, right, left_prefixes, right_prefixes = (c.to_pylist() for c in batch.columns)
+            ok = []
+            for i in range(len(a)):
+                orders = zip(_prefixes(left_prefixes[i])[1:], _prefixes(right_prefixes[i])[1:])
+                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in orders) and _linked(np.frombuffer(left[i], np.uint64), np.frombuffer(right[i], np.uint64), percent):
+                    ok.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["u", "v"])
 
     return run
 
 
 def _candidates(sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix token under every order and fit in size."""
-    placed = sets.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component"), "prefixes")
-    rows = saved(placed.mapInArrow(_prefix_rows, "order int, token long, rep long, n long, component long"), "prefix-rows")
+    """Pairs (a, b) of different components that share a prefix token under the first order, fit in size, and could share enough.
+
+    A set of n tokens shares at most the `known` ones that another text has.
+    """
+    placed = sets.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "known", F.coalesce("component", "rep").alias("component"), "prefixes")
+    rows = saved(placed.mapInArrow(_prefix_rows, "token long, rep long, n long, known long, component long"), "prefix-rows")
     # a token whose holders are all of one component proposes nothing
-    mixed = rows.groupBy("order", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("order", "token")
-    rows = rows.join(mixed, ["order", "token"])
-    left = rows.select("order", "token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = rows.select("order", "token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    pairs = left.join(right, ["order", "token"]).where(fits)
-    return pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, order)")).alias("orders")).where(F.col("orders") == (1 << _ORDERS) - 1).select("a", "b")
+    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    rows = rows.join(mixed, "token")
+    side = lambda x: rows.select("token", F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "known", "component")))
+    most = F.least("known_a", "known_b")
+    fits = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
+    return side("a").join(side("b"), "token").where(fits).select("a", "b").distinct()
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -225,16 +264,21 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     have empty sets, link with nothing and are their own component. Rows of one doc_id are one document where links
     are followed; rows with a null doc_id have a null component. Other columns are left out.
     """
-    found = saved(document_sets(docs, words, percent), "shingle-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    copies = saved(equal_texts(texts.where("text <> ''")), "equal-texts")
+    found = saved(document_sets(texts, copies, words, percent), "shingle-sets")
     known = found.where("tokens is not null and doc_id is not null")
     # equal sets are one class, represented by their smallest document
-    sets = saved(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("prefixes").alias("prefixes")), "set-classes")
+    sets = saved(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("known").alias("known"), F.first("tokens").alias("tokens"), F.first("prefixes").alias("prefixes")), "set-classes")
     member = known.select("doc_id", "n", "h1", "h2").join(sets.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     first = saved(_group_links(sets, percent), "leader-links")
-    pairs = _candidates(sets, connected_components(first), percent)
-    sides = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("right")), "b")
-    second = sides.select("a", "b", "left", "right").mapInArrow(_verified(percent), "u long, v long")
-    component = connected_components(first.unionByName(second).unionByName(member))
+    pairs = saved(_candidates(sets, connected_components(first), percent), "candidates")
+    side = lambda x, name: sets.select(F.col("rep").alias(x), F.col("tokens").alias(name), F.col("prefixes").alias(f"{name}_prefixes"))
+    met = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
+    second = met.select("a", "b", "left", "right", "left_prefixes", "right_prefixes").mapInArrow(_verified(percent), "u long, v long")
+    blank = found.where("n = 0").select(F.col("doc_id").alias("u"))
+    ties = first.unionByName(second).unionByName(member).unionByName(copies.join(blank, "u", "left_anti"))
+    component = connected_components(ties)
     out = found.select("doc_id", "text_hash", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
