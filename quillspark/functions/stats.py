@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.959963984540054
 
@@ -100,12 +101,13 @@ def chi2_tail(x: float, dof: float) -> float:
     return front * h
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def binomial_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """Exact two-sided p values of k of n against p."""
     return pd.Series([binomial_two_sided(int(a), int(b), float(c)) for a, b, c in zip(k, n, p)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(float(a), float(b)) for a, b in zip(x, dof)], dtype="float64")
 

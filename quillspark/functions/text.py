@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: White space of the cleaning rules: Unicode's, and the four separators U+001C to U+001F.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
@@ -30,12 +31,12 @@ NOISE = {
 }
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if not t or t.isascii() else unicodedata.normalize("NFC", t))
 

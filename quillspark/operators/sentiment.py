@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.stats import average_rank, benjamini_hochberg, binomial_p, chi2_p, wilson
@@ -12,6 +12,11 @@ from quillspark.sources.io import small
 OUTLIER = -1
 
 
+def inside() -> Column:
+    """Documents of a topic; ids may be numbers or names."""
+    return F.col("topic").cast("string") != str(OUTLIER)
+
+
 def base_rate(reviews: DataFrame) -> DataFrame:
     """One row: the mean label of all documents, outliers too."""
     return reviews.agg(F.avg(F.col("label").cast("double")).alias("base"))
@@ -19,7 +24,7 @@ def base_rate(reviews: DataFrame) -> DataFrame:
 
 def topic_share(reviews: DataFrame) -> DataFrame:
     """n, n_pos, share_pos and diff_pp of each topic but the outliers'."""
-    per = reviews.where(F.col("topic") != OUTLIER).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("n_pos"))
+    per = reviews.where(inside()).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("n_pos"))
     return per.crossJoin(F.broadcast(base_rate(reviews))).withColumn("share_pos", F.col("n_pos") / F.col("n")).withColumn("diff_pp", 100 * (F.col("share_pos") - F.col("base")))  # one row
 
 
@@ -34,13 +39,13 @@ def sentiment_table(reviews: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def crosstab(reviews: DataFrame) -> DataFrame:
-    return reviews.where(F.col("topic") != OUTLIER).groupBy("topic").agg(F.count_if(F.col("label") == 0).alias("n_neg"), F.count_if(F.col("label") == 1).alias("n_pos"))
+    return reviews.where(inside()).groupBy("topic").agg(F.count_if(F.col("label") == 0).alias("n_neg"), F.count_if(F.col("label") == 1).alias("n_pos"))
 
 
 def global_test(reviews: DataFrame) -> DataFrame:
     """One row: chi2, dof, p_value, cramers_v of topic x label; Yates' correction with one degree of freedom."""
-    cells = reviews.where(F.col("topic") != OUTLIER).groupBy("topic", "label").agg(F.count(F.lit(1)).alias("o"))
-    tests = reviews.where(F.col("topic") != OUTLIER).agg(F.countDistinct("topic").alias("r"), F.countDistinct("label").alias("c"), F.count(F.lit(1)).alias("n"))
+    cells = reviews.where(inside()).groupBy("topic", "label").agg(F.count(F.lit(1)).alias("o"))
+    tests = reviews.where(inside()).agg(F.countDistinct("topic").alias("r"), F.countDistinct("label").alias("c"), F.count(F.lit(1)).alias("n"))
     rows, columns = cells.groupBy("topic").agg(F.sum("o").alias("row_n")), cells.groupBy("label").agg(F.sum("o").alias("col_n"))
     full = rows.crossJoin(F.broadcast(columns)).join(cells, ["topic", "label"], "left").crossJoin(F.broadcast(tests))  # two labels, one row
     e = F.col("row_n") * F.col("col_n") / F.col("n")
@@ -75,11 +80,11 @@ def representative_reviews(reviews: DataFrame, k: int = 3) -> DataFrame:
 
     reviews: doc_id, label, topic, topic_raw, embedding. A topic without native members uses all of its own.
     """
-    inside = reviews.where(F.col("topic") != OUTLIER)
-    native = mean_vector(inside.where(F.col("topic") == F.col("topic_raw")), ["topic"], "embedding", "native")
-    every = mean_vector(inside, ["topic"], "embedding", "every")
+    members = reviews.where(inside())
+    native = mean_vector(members.where(F.col("topic") == F.col("topic_raw")), ["topic"], "embedding", "native")
+    every = mean_vector(members, ["topic"], "embedding", "every")
     centroids = every.join(native, "topic", "left").select("topic", normalise(F.coalesce("native", "every")).alias("centroid"))
-    near = inside.join(small(centroids), "topic").withColumn("similarity", F.round(dot(normalise(as_doubles(F.col("embedding"))), F.col("centroid")), 8))
+    near = members.join(small(centroids), "topic").withColumn("similarity", F.round(dot(normalise(as_doubles(F.col("embedding"))), F.col("centroid")), 8))
     place = F.row_number().over(Window.partitionBy("topic", "label").orderBy(F.desc("similarity"), "doc_id"))
     return near.withColumn("rank", place).where(F.col("rank") <= k)
 
