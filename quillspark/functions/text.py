@@ -73,18 +73,20 @@ def keep_tokens(surface: Column, stopwords: list[str], lemma=lambda t: F.lower(t
 
 
 def _bigrams(t: Column) -> Column:
-    return F.when(F.size(t) > 1, F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(t, i + 1)))).otherwise(F.array().cast("array<string>"))
+    """The bigram that starts at each token; null at the last. No lambda looks into the whole array, which Spark may compute anew for every element."""
+    behind = F.concat(F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(0))), F.array(F.lit(None).cast("string")))
+    return F.zip_with(F.filter(t, lambda x: x.isNotNull()), behind, lambda x, y: F.concat(x, F.lit(" "), y))
 
 
 def ngrams(t: Column, dedupe: bool = False) -> Column:
     """All unigrams, then all bigrams; deduped, the first of each stays."""
-    out = F.concat(t, _bigrams(t))
+    out = F.concat(t, F.filter(_bigrams(t), lambda x: x.isNotNull()))
     return F.array_distinct(out) if dedupe else out
 
 
 def ngrams_interleaved(t: Column) -> Column:
     """w0, w0 w1, w1, w1 w2, ..."""
-    return F.flatten(F.transform(t, lambda x, i: F.when(i + 1 < F.size(t), F.array(x, F.concat(x, F.lit(" "), F.get(t, i + 1)))).otherwise(F.array(x))))
+    return F.filter(F.flatten(F.zip_with(t, _bigrams(t), lambda x, y: F.array(x, y))), lambda x: x.isNotNull())
 
 
 def truncate_words(c: Column, most: int, mark: str = " […]") -> Column:

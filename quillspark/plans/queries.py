@@ -68,7 +68,7 @@ _LETTERS = "list_transform(list_concat(range(65, 91), range(97, 123), range(192,
 
 @query(
     rf"""SELECT page_id, trim(regexp_replace(translate(nfc_normalize(regexp_replace(regexp_replace({_UNESCAPED}, '<[^>]+>', ' ', 'g'), 'https?://[^\s]+|www\.[^\s]+', ' ', 'g')),
- '’‘`´«»“”', '''''''''""""'), '{_SPACE}+', ' ', 'g')) AS text_clean FROM pages"""
+ '’‘`´«»“”', repeat(chr(39), 4) || repeat(chr(34), 4)), '{_SPACE}+', ' ', 'g')) AS text_clean FROM pages"""
 )
 def q_clean_text(spark, d):
     return table(spark, d, "pages").select("page_id", tx.clean_text(F.col("html")).alias("text_clean"))
@@ -543,7 +543,8 @@ _WORDS_SQL = f"""{_DICTIONARY}, dedup AS (SELECT doc_id, regexp_extract(topic, '
  plain AS (SELECT topic, term, tf / len * ln(1 + a / f) AS score FROM tf JOIN class_total USING (topic) JOIN term_total USING (term), mean),
  words AS (SELECT 'A' AS model, topic, term AS word, row_number() OVER (PARTITION BY topic ORDER BY round(score, 10) DESC, term DESC) AS rank FROM scored QUALIFY rank <= 25
  UNION ALL SELECT 'B', topic, term, row_number() OVER (PARTITION BY topic ORDER BY round(score, 10) DESC, term DESC) AS rank FROM plain QUALIFY rank <= 25),
- kept AS (SELECT model, topic, word, row_number() OVER (PARTITION BY model, topic ORDER BY rank) AS rank FROM words SEMI JOIN vocabulary ON term = word QUALIFY rank <= 10)"""
+ placed AS (SELECT model, topic, word, row_number() OVER (PARTITION BY model, topic ORDER BY rank) AS place FROM words SEMI JOIN vocabulary ON term = word),
+ kept AS (SELECT model, topic, word, place AS rank FROM placed WHERE place <= 10)"""
 
 
 @query(f"WITH {_WORDS_SQL} SELECT model, topic, rank, word FROM kept")
