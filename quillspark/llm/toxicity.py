@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
-Lexicons, trees and calibration are each learned from their own third of a bounded sample of labelled rows; what is
-broadcast with the scoring tasks is bounded by LEXICON_TERMS and the number of trees. Scores depend on the text alone.
+All is learned from a bounded sample of labelled rows, dealt into FOLDS: the lexicon that makes a document's features
+for the trees has not seen it, nor have the trees that give its margin to the calibration. What is broadcast with the
+scoring tasks is bounded by LEXICON_TERMS and the number of trees. Scores depend on the text alone.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from quillspark.llm.common import saved, slices, text_buffers
 #: Bound of the labelled sample, and of the learned lexicon.
 SAMPLE_ROWS = 12_000
 LEXICON_TERMS = 5_000
+FOLDS = 4
 CUT = 0.3
 STEMS = (4, 5, 6, 7)
 NEAR = 5
@@ -209,7 +212,7 @@ def held_out() -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, text, toxic, part (0 lexicon, 1 trees, 2 calibration): about `rows` labelled rows that are not held out."""
+    """doc_id, text, toxic, fold: `rows` labelled rows at most that are not held out."""
     known = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     total = known.count()
     share = min(1.0, rows / max(total, 1))
@@ -217,54 +220,64 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     picked = known.where(draw < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id").limit(rows)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(picked), "doc_id")  # `rows` rows of two numbers
-    return texts.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)).cast("int"))
+    return texts.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
 
 
-def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> dict[str, float]:
-    """Terms much more frequent in toxic documents, with the logarithm of the odds ratio."""
+def term_counts(sample: DataFrame) -> DataFrame:
+    """fold, term, pos, neg: documents of either kind with a term; the empty term counts all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
-        n = [0, 0]
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
                 words = {normalised(w) for w in (text or "").split()}
-                (pos if toxic else neg).update({t for w in words if len(w) > 2 for t in _terms(w)})
-                n[toxic] += 1
+                (pos if toxic else neg).update({(fold, t) for w in words if len(w) > 2 for t in _terms(w)} | {(fold, "")})
         keys = [*pos.keys() | neg.keys()]
-        yield pa.RecordBatch.from_arrays([pa.array([*keys, ""]), pa.array([*(pos[t] for t in keys), n[1]], pa.int64()), pa.array([*(neg[t] for t in keys), n[0]], pa.int64())], names=["term", "pos", "neg"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (pos, neg))], names=["fold", "term", "pos", "neg"])
 
-    counts = sample.where("part = 0").select("text", "toxic").mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    total = F.broadcast(counts.where("term = ''").selectExpr("pos as all_pos", "neg as all_neg").limit(1))
-    odds = counts.where("term <> '' and pos >= 3").join(total).selectExpr("term", "pos", "ln((pos + 0.5) / (all_pos + 1)) - ln((neg + 0.5) / (all_neg + 1)) odds", "neg")
-    rows = odds.where("odds > 2.0 and neg <= 0.2 * pos").orderBy(F.desc(F.expr("odds * sqrt(pos)")), "term").limit(terms).collect()
+    counted = sample.select("text", "toxic", "fold").mapInArrow(run, "fold int, term string, pos long, neg long")
+    return counted.groupBy("fold", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def learn_lexicon(counts: DataFrame, without: int = -1, terms: int = LEXICON_TERMS) -> dict[str, float]:
+    """Terms much more frequent in toxic documents of all folds but one, with the logarithm of the odds ratio."""
+    c = counts.where(F.col("fold") != without).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    total = c.where("term = ''").first()
+    if total is None:
+        return {}
+    odds = F.log((F.col("pos") + 0.5) / (total["pos"] + 1)) - F.log((F.col("neg") + 0.5) / (total["neg"] + 1))
+    found = c.where("term <> '' and pos >= 3 and neg <= 0.2 * pos").withColumn("odds", odds).where("odds > 2.0")
+    rows = found.orderBy(F.desc(F.expr("odds * sqrt(pos)")), "term").limit(terms).collect()
     return {r["term"]: float(r["odds"]) for r in rows}
 
 
-def _features(frame: DataFrame, lexicon: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, toxic, part) of the sample, which is bounded."""
+def _features(sample: DataFrame, lexicons: list[dict[str, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, toxic, fold) of the sample, which is bounded; each fold under its own lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featurizer(lexicon)
+        make = [Featurizer(x) for x in lexicons]
         for batch in batches:
-            for part in slices(batch, "text"):
-                x = make(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "toxic", "part", "x"])
+            for k, lexicon in enumerate(make):
+                own = batch.filter(pa.compute.equal(batch.column(3), k))
+                for part in slices(own, "text"):
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(lexicon(part.column(1)).tolist(), pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
 
-    got = frame.where("part > 0").select("doc_id", "text", "toxic", "part").mapInArrow(run, "doc_id long, toxic int, part int, x array<double>").orderBy("doc_id").toArrow()
+    got = sample.select("doc_id", "text", "toxic", "fold").mapInArrow(run, "doc_id long, toxic int, fold int, x array<double>").orderBy("doc_id").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(FEATURES))
-    return x, got.column("toxic").to_numpy(), got.column("part").to_numpy()
+    return x, got.column("toxic").to_numpy(), got.column("fold").to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     sample = saved(training_sample(docs, labels, rows), "toxicity-sample")
-    lexicon = learn_lexicon(sample)
-    x, y, part = _features(sample, lexicon)
-    fit, check = part == 1, part == 2
-    trees, base = boost(x[fit], y[fit].astype(float))
-    model = Model(lexicon, trees, base)
-    if check.any() and trees:
-        model.edges_x, model.edges_y = isotonic(model.margins(x[check]), y[check].astype(float))
+    counts = saved(term_counts(sample), "toxicity-terms")
+    x, y, fold = _features(sample, [learn_lexicon(counts, k) for k in range(FOLDS)])
+    y = y.astype(float)
+    model = Model(learn_lexicon(counts), *boost(x, y))
+    if model.trees:
+        margins = np.zeros(len(y))
+        for k in range(FOLDS):
+            margins[fold == k] = Model({}, *boost(x[fold != k], y[fold != k])).margins(x[fold == k])
+        model.edges_x, model.edges_y = isotonic(margins, y)
     return model
 
 

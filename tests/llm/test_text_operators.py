@@ -1,0 +1,331 @@
+"""Operators on texts against plain Python statements of the same rules."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import html, lines, media, near_duplicates, packing, pii, substrings, tokens, toxicity
+from quillspark.llm.common import gram_hashes, sliding_min
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def passage(name: str, n: int) -> str:
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def corpus() -> list[tuple]:
+    shared, other = passage("s", 70), passage("o", 60)
+    rows = [
+        (0, f"{passage('a', 30)} {shared}\nA line that comes back\nend"),
+        (1, None),
+        (2, ""),
+        (3, f"{shared} {passage('b', 40)}\n  a line that COMES back \t\nshort\nshort"),
+        (4, f"{passage('c', 10)} {other} {shared} tail"),
+        (5, other + " " + other),
+        (5, other + " " + other),
+        (6, "one two three"),
+        (7, "One TWO three"),
+        (8, passage("n", 100)),
+        (9, passage("n", 98) + " x y"),
+        (10, passage("n", 70) + " " + passage("m", 30)),
+        (11, "\n\n \nA line that comes back"),
+        (12, "é" * 4000 + " " + passage("w", 3000)),
+        (None, "A line that comes back\nnobody"),
+        (13, " \t\n"),
+    ]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    frame = spark.createDataFrame(corpus(), "doc_id long, text string")
+    # columns whose names are used inside the operators
+    return frame.withColumns({c: F.lit(1) for c in ("keep", "spans", "words", "anchor", "chunk", "n", "shard", "first", "component", "n_chars")}).repartition(3)
+
+
+def test_substrings(docs):
+    occurs = defaultdict(lambda: 1 << 60)
+    words = [(i, WORD.findall(t or "")) for i, t in corpus()]
+    for i, w in words:
+        for k in range(len(w) - 49) if i is not None else ():
+            occurs[tuple(w[k : k + 50])] = min(occurs[tuple(w[k : k + 50])], i)
+    want = []
+    for i, w in words:
+        gone = set()
+        for k in range(len(w) - 49) if i is not None else ():
+            if occurs[tuple(w[k : k + 50])] < i:
+                gone |= {*range(k, k + 50)}
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    for hot in (500, 1):
+        got = [tuple(r) for r in substrings.dedup_substrings(docs, hot=hot).select("doc_id", "n_words", "n_removed", "text").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_lines(docs):
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate(FOLD)
+    holders = defaultdict(set)
+    for i, t in corpus():
+        for line in (t or "").split("\n") if i is not None else ():
+            holders[key(line)].add(i)
+    want = []
+    for i, t in corpus():
+        own = (t or "").split("\n")
+        kept = [x for x in own if i is None or len(key(x)) < 10 or len(holders[key(x)]) < 2 or min(holders[key(x)]) == i]
+        want.append((i, len(own), len(own) - len(kept), "\n".join(kept)))
+    got = [tuple(r) for r in lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    whole = lines.drop_repeated_lines(docs)
+    assert whole.columns == docs.columns and whole.count() == len(want)
+    assert {(r.doc_id, r.text or "") for r in whole.collect()} == {(i, t) for i, _, _, t in want}
+
+
+def test_bitmap_beyond_one_word(spark):
+    rows = [(0, "\n".join(f"a common line {i}" for i in range(200))), (1, "\n".join(f"a common line {i}" if i % 3 else f"own line number {i}" for i in range(200)))]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_dropped == 0 and got[1].n_dropped == sum(1 for i in range(200) if i % 3)
+    assert got[1].text.split("\n") == [f"own line number {i}" for i in range(200) if i % 3 == 0]
+
+
+def test_jaccard(docs):
+    sets = {}
+    for i, t in corpus():
+        w = WORD.findall((t or "").translate(FOLD))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    ids = [i for i in sets if i is not None]
+    label = {i: i for i in ids}
+    for _ in ids:
+        for a in ids:
+            for b in ids:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = near_duplicates.link_components(docs).collect()
+    assert len(got) == len(corpus())
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), label.get(i)) for i, s in sets.items()}
+    kept = near_duplicates.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in corpus() if i is None or label[i] == i)
+
+
+def test_jaccard_many_near_copies(spark):
+    """A chain of near copies in one group, at and below the threshold, against brute force."""
+    rng = np.random.default_rng(4)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.integers(0, 60, rng.integers(0, 4)):
+            w[k] = f"x{rng.integers(0, 6)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(20):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in near_duplicates.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == label
+
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+KINDS["card"] = r"[0-9]([ -]?[0-9])+"
+KINDS["phone"] = r"\+[0-9][ ().0-9-]+[0-9]"
+
+
+def confirmed(kind: str, m: str) -> bool:
+    d = re.sub(r"[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(d))]
+        return 13 <= len(d) <= 19 and sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def test_pii(spark):
+    rng = np.random.default_rng(3)
+    letters = list("0123456789" * 2 + " -.@+()aé_%\n\U0001f600")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 120))) for _ in range(800)]
+    texts += [None, "", "4111 1111 1111 1111", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "a@b" + ".c" * 9000, "1" * 9000, "1.2.3.4 " * 700, "iban GB82 WEST 1234 5698 7654 32", "social security 123-45-6789", "bare 123-45-6789"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit(0))
+    got = {r.doc_id: r for r in pii.report(frame).collect()}
+    for i, t in enumerate(texts):
+        want = ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in KINDS.items() for m in re.finditer(p, t or "") if confirmed(k, m[0]))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert got[i].spans.startswith(want)
+    n = len(texts)
+    assert got[n - 3].spans == "iban:5:32" and got[n - 2].spans == "ssn:16:27" and got[n - 1].spans == ""
+    masked = {r.doc_id: r for r in pii.mask(frame).collect()}
+    assert masked[800].text is None and masked[802].text == "[card]" and masked[n - 3].text == "iban [iban]" and masked[0].spans == 0
+
+
+def test_byte_bpe(docs):
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(1)
+    letters = list("'srevltmdx  \n\t　é1２!?-,中文ß\U0001f600'aÁ")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(1500)] + [t for _, t in corpus()] + ["a" * 3000, "'re", " 's", "  's", "\n's"]
+    frame = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in tokens.encode_documents(frame, path, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode_ordinary(t or "")
+        assert list(got[i].ids) == ids, t
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    back = {r.doc_id: r.text for r in tokens.decode_ids(frame.sparkSession.createDataFrame([(i, list(got[i].ids)) for i in range(1500)], "doc_id long, ids array<int>"), path).collect()}
+    assert all(back[i] == texts[i] for i in range(1500))
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    got = packing.pack_documents(docs, path).collect()
+    by_doc = defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+    for i, t in corpus():
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        own = sorted({(r.piece, r.start, r.length, r.ids_crc32) for r in by_doc[i]})
+        assert own == [(k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_special_tokens_go_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a <|endoftext|> b", "ΣΑΣ é é\x1cx", "", "it's 12 o'clock"]
+    assert [list(x) for x in packing.word_bpe(path).encode(texts)] == [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_sum_of_squares_is_near_the_bound():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 2049, 3000)
+    bins, offsets = packing.sum_of_squares(lengths, 2048)
+    assert np.bincount(bins, weights=lengths).max() <= 2048
+    assert bins.max() + 1 <= 1.02 * max(-(-lengths.sum() // 2048), (lengths > 1024).sum())
+
+
+def test_media(docs, monkeypatch):
+    got = {r.doc_id: r for r in media.media_column(docs, with_media=True, with_tensor=True).collect()}
+    for i, t in corpus():
+        raw = (t or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
+        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
+        assert len(r.rgb) == r.height * r.width * 3
+    assert got[1].feature == got[2].feature
+
+
+def test_progressive_reader_code_by_code(monkeypatch):
+    """The general reader gives what the reader of whole arrays gives."""
+    rng = np.random.default_rng(5)
+    payload = rng.integers(0, 256, 192 * 70).astype(np.uint8)
+    data = media.encode_payload(payload)
+    fast = media.read_jpeg(data)
+    real = np.ndarray.any
+
+    class Slow(np.ndarray):
+        pass
+
+    bits = media._Bits
+    scan = media._read_scan
+
+    def slow_scan(image, tables, head, body):
+        # an unused longer code for class 7 hides the uniform table; the codes in the data stay the same
+        hidden = {k: dict(v) for k, v in tables.items()}
+        n = head[0]
+        if head[1 + 2 * n] and not head[3 + 2 * n] >> 4:
+
+            class Table(dict):
+                def get(self, key, default=None):
+                    return dict.get(self, key, default) if not isinstance(key, tuple) or self.__dict__.setdefault("seen", 0) else self.__dict__.__setitem__("seen", 1)
+
+            hidden[0x10 | head[2] & 15] = Table(hidden[0x10 | head[2] & 15])
+        return scan(image, hidden, head, body)
+
+    monkeypatch.setattr(media, "_read_scan", slow_scan)
+    slow = media.read_jpeg(data)
+    assert all((a == b).all() for a, b in zip(fast.planes, slow.planes))
+    assert (media.payload_of(slow) == payload).all() and bits and real
+
+
+def test_grey_refinement_with_new_coefficients():
+    """A hand-made scan pair: a coefficient that appears only in the refinement."""
+    plane = np.zeros((1, 1, 64), np.int16)
+    plane[0, 0, 1] = 2
+    # codes: 0 = (run 0, size 1), 10 = end of band; correction bit of place 1 is 1, then a new -1 at place 2
+    table = {(1, 0): 0x01, (2, 2): 0x00}
+    data = np.packbits(np.array([0, 0, 1, 1, 0] + [1] * 3, np.uint8)).tobytes()  # size 1, sign 0, correction of 1, end of band
+    media._refine(plane, table, 1, 5, 0, data)
+    assert plane[0, 0, :6].tolist() == [0, 3, -1, 0, 0, 0]
+
+
+def test_html():
+    page = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div><article><h1>Title &amp; all</h1><p>One\n  two&nbsp;three<br>four<p><b>Five</article><div id=comments><p>First!</p></div><footer>F</footer>"
+    assert html.main_text(page) == "Title & all\nOne two three four\nFive"
+    plain = "<nav>Home</nav><div class=cookie-notice>We use cookies</div><h2>Head line of it</h2>" + "<p>A long text that goes on for quite a while, with words.</p>" * 3 + "<footer>c</footer>"
+    assert html.main_text(plain).count("\n") == 3
+    assert html.main_text("") == "" and html.main_text("<script>x</script>") == "" and html.main_text("just text") == "just text"
+
+
+def test_html_table(spark):
+    rows = [(0, "u", "<article><p>a</p></article>"), (0, "u", "<article><p>a</p></article>"), (1, None, None), (None, "v", "")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(3))).collect()
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == [("0", "a", 1), ("0", "a", 1), ("1", "", 0), ("None", "", 0)]
+
+
+def test_toxicity(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    assert ((got.score >= 0) & (got.score <= 1)).all()
+    assert (got.predicted == got.toxic).mean() > 0.98
+    rank = got.score.rank()
+    pos = got.toxic == 1
+    assert (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()) > 0.97
+
+
+def test_isotonic_pools_violators():
+    xs, ys = toxicity.isotonic(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0.0, 1.0, 0.0, 1.0]))
+    assert ys == sorted(ys) and (xs[0], ys[0], ys[-1]) == (0.0, 0.0, 1.0)
+
+
+def test_hash_windows():
+    words = np.arange(100, dtype=np.uint64)
+    one = gram_hashes(words, 13, 1)
+    assert len(one) == 88 and one[5] == gram_hashes(words[5:18], 13, 1)[0] and len(gram_hashes(words[:5], 13, 1)) == 0
+    values = np.random.default_rng(1).integers(0, 1 << 60, 200).astype(np.uint64)
+    assert (sliding_min(values, 35) == np.array([values[i : i + 35].min() for i in range(166)])).all()
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    ranks, vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+    for frame in (pii.report(none), substrings.dedup_substrings(none), lines.dedup_lines(none), near_duplicates.link_components(none), tokens.encode_documents(none, ranks), packing.pack_documents(none, vocabulary), media.media_column(none), toxicity.toxicity(none, labels)):
+        assert frame.count() == 0
