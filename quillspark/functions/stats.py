@@ -115,7 +115,8 @@ def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
 def wilson(k: Column, n: Column, upper: bool, z: float = Z95) -> Column:
     p = k / n
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return (p + z * z / (2 * n) + (half if upper else -half)) / (1 + z * z / n)
+    bound = (p + z * z / (2 * n) + (half if upper else -half)) / (1 + z * z / n)
+    return F.least(F.greatest(bound, F.lit(0.0)), F.lit(1.0))
 
 
 def benjamini_hochberg(frame: DataFrame, p: str, key: str, out: str = "q_value") -> DataFrame:
