@@ -34,7 +34,7 @@ RANGE_DOCS = 4000
 #: Members of a group of equal smallest hashes that one task compares with their leaders.
 GROUP = 512
 _SEED = 55
-_LEADERS = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
+_LEADERS = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B)
 _ORDERS = 3
 _SET_FIELDS = "doc_id long, text_hash long, n long, known long, h1 long, h2 long, tokens binary, prefixes binary"
 
@@ -192,7 +192,7 @@ def _leaders(percent: int):
 
 
 def _group_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links of sets to leaders of their group of equal smallest hashes, under two hash functions."""
+    """Links of sets to leaders of their group of equal smallest hashes, under several hash functions."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +222,8 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = [_prefixes(b)[0].view(np.int64) for b in batch.column(4).to_pylist()]
         rows = np.repeat(np.arange(len(first)), [len(x) for x in first])
         tokens = np.concatenate([*first, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(tokens), *(batch.column(k).take(pa.array(rows)) for k in range(4))], names=["token", "rep", "n", "known", "component"])
+        places = np.concatenate([*(np.arange(len(x)) for x in first), np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(places.astype(np.int32)), *(batch.column(k).take(pa.array(rows)) for k in range(4))], names=["token", "place", "rep", "n", "known", "component"])
 
 
 def _verified(percent: int):
@@ -242,18 +243,20 @@ def _verified(percent: int):
 
 
 def _candidates(sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix token under the first order, fit in size, and could share enough.
+    """Pairs (a, b) of different components that share a prefix token under the first order and could share enough.
 
-    A set of n tokens shares at most the `known` ones that another text has.
+    A set shares at most the `known` tokens that another text has; if a token is the first that two sets share, none of
+    the known ones before it counts either. So a pair is proposed only where enough are left behind the token, and
+    every pair that links is proposed at its first shared token.
     """
     placed = sets.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "known", F.coalesce("component", "rep").alias("component"), "prefixes")
-    rows = saved(placed.mapInArrow(_prefix_rows, "token long, rep long, n long, known long, component long"), "prefix-rows")
+    rows = saved(placed.mapInArrow(_prefix_rows, "token long, place int, rep long, n long, known long, component long"), "prefix-rows")
     # a token whose holders are all of one component proposes nothing
     mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     rows = rows.join(mixed, "token")
-    side = lambda x: rows.select("token", F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "known", "component")))
-    most = F.least("known_a", "known_b")
-    fits = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
+    side = lambda x: rows.select("token", F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "known", "component")))
+    enough = lambda x: (F.col(f"known_{x}") - F.col(f"place_{x}")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    fits = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & enough("a") & enough("b")
     return side("a").join(side("b"), "token").where(fits).select("a", "b").distinct()
 
 
