@@ -79,13 +79,14 @@ def coherence_cv(streams: DataFrame, words: DataFrame, window: int = 110, column
 
 def per_topic(streams: DataFrame, words: DataFrame, vocabulary: DataFrame, topn: int = 10, npmi_window: int = 10, cv_window: int = 110) -> DataFrame:
     """model, topic, npmi, c_v, words of each topic's words in the vocabulary."""
-    kept = restrict(words, vocabulary, topn)
+    kept = restrict(words, vocabulary, topn).cache()  # a few words of each topic, used by three metrics
     joined = kept.groupBy("model", "topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]), ", ").alias("words"))
     return joined.join(coherence_npmi(streams, kept, npmi_window), ["model", "topic"], "left").join(coherence_cv(streams, kept, cv_window), ["model", "topic"], "left").select("model", "topic", "npmi", "c_v", "words")
 
 
 def summary(streams: DataFrame, words: DataFrame, vocabulary: DataFrame, topn: int = 10, diversity_topn: int = 25, npmi_window: int = 10, cv_window: int = 110) -> DataFrame:
     """model, n_topics, npmi, c_v, diversity, coverage."""
+    words, vocabulary = words.cache(), vocabulary.cache()
     detail = per_topic(streams, words, vocabulary, topn, npmi_window, cv_window).groupBy("model").agg(F.avg("npmi").alias("npmi"), F.avg("c_v").alias("c_v"))
     topics = words.groupBy("model").agg(F.countDistinct("topic").alias("n_topics"))
     return topics.join(detail, "model", "left").join(diversity(words, diversity_topn), "model", "left").join(coverage(words, vocabulary, topn), "model", "left").select("model", "n_topics", "npmi", "c_v", "diversity", "coverage")

@@ -536,7 +536,7 @@ def _ranked_words(spark, d):
         best = terms.top_class_terms(terms.ctfidf(t, "grams", ["topic"], reduce_frequent=damped), ["topic"], 25)
         own = best.select(F.lit(model).alias("model"), "topic", "rank", F.col("term").alias("word"))
         out = own if out is None else out.unionByName(own)
-    return t, out
+    return t, out.cache()
 
 
 _WORDS_SQL = f"""{_DICTIONARY}, dedup AS (SELECT doc_id, regexp_extract(topic, '(\\d+)', 1)::INT AS topic, list_distinct(all_grams) AS g FROM grams), {_ctfidf('topic', 'dedup', 'g')},
