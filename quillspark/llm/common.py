@@ -20,22 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share (spark.checkpoint.dir)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only where the session has none (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
-    here = tempfile.gettempdir()
-    own = f"{here}/quillspark-checkpoints"
-    return own
+    return f"{tempfile.gettempdir()}/quillspark-checkpoints"
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
