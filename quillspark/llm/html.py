@@ -1,9 +1,10 @@
 """Main text of HTML pages by the distribution of text over lines.
 
-Markup is stripped into lines, one per block. Lines of menus, notices, forms and the like weigh nothing, and lines
-inside an article or main element weigh at least what starts a region. Text lengths are summed over a sliding window
-of lines; where the sum rises over the threshold a region surges, where it falls to nothing it dives, and the region
-with the most text is kept, between these two points.
+Markup is stripped into lines, one per block. Lines of menus, notices, forms and the like are left out before anything
+is counted, lines that are links alone weigh nothing, and lines inside an article or main element weigh at least what
+starts a region. Text lengths are summed over a sliding window of lines; where the sum rises over the threshold a region
+surges, where it falls to nothing it dives. A region reaches from dive to dive, so the short lines that lead it belong
+to it. All that lies between the start of the first region and the end of the last is kept.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 #: Words of class, id and role names that mark what is not the article.
 _MARKS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond share sharing social related recommended widget complementary contentinfo search alert dialog skip pagination pager toolbar login signup".split())
 _MAIN = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_WORD = re.compile(r"\w")
 
 
 def _marked(attributes: str) -> bool:
@@ -38,25 +41,33 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, lies in an article or main element, is kept out) of each block, in page order; texts are trimmed and not empty."""
-    out: list[tuple[str, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, lies in an article or main element, is kept out, is links alone) of each block, in page order; texts are trimmed and not empty. A heading is never links alone."""
+    out: list[tuple[str, bool, bool, bool]] = []
     parts: list[str] = []
     main, dropped, depth = 0, "", 0
+    link, heading, plain = False, False, False
     at = 0
 
+    def add(text: str) -> None:
+        nonlocal plain
+        parts.append(text)
+        plain = plain or not link and _WORD.search(text) is not None
+
     def close() -> None:
+        nonlocal link, plain
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append((text, main > 0, bool(dropped)))
+            out.append((text, main > 0, bool(dropped), not plain and not heading))
+        link, plain = False, False
 
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            add(page[at:])
             break
-        parts.append(page[at : m.start()])
+        add(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
@@ -69,6 +80,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name in _BLOCKS or name in _DROPPED:
             close()
+            heading = name in _HEADINGS and not ends
+        elif name == "a":
+            link = not ends
         elif name in _CELLS:
             parts.append(" ")
         if dropped:
@@ -87,27 +101,35 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def _regions(weights: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs of lines between two dives that hold a surge. A dive is a window or more of lines without weight."""
+    out, start, idle, surged = [], 0, 0, False
+    n = len(weights)
+    for i in range(n + 1):
+        if i < n and not weights[i]:
+            idle += 1
+            continue
+        if i == n or idle >= window:  # before the next line with weight, or the page's end
+            if surged:
+                out.append((start, i - idle if idle >= window else i))
+            start, surged = i, False
+        idle = 0
+        surged = surged or sum(weights[i : i + window]) > threshold
+    return out
+
+
 def main_text(page: str, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
-    lines = lines_of(page)
+    lines = [(text, inside, links) for text, inside, out, links in lines_of(page) if not out]
     if not lines:
         return ""
-    known = any(inside and not out for _, inside, out in lines)
-    weights = [0 if out or (known and not inside) else max(len(text), threshold + 1 if known else 0) for text, inside, out in lines]
-    n = len(lines)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
-    best, best_weight, start = None, -1, None
-    for i in range(n + 1):
-        if start is None:
-            if i < n and sums[i] > threshold and weights[i]:  # the surge
-                start = i
-        elif i == n or not sums[i] or (not known and sums[i] <= threshold // window and not weights[i]):  # the dive
-            if (weight := sum(weights[start:i])) > best_weight or known:
-                best, best_weight = (best[0] if known and best else start, i), weight
-            start = None
-    if best is None:
+    known = any(inside for _, inside, _ in lines)
+    weights = [0 if (known and not inside) or (links and not inside) else max(len(text), threshold + 1 if known else 0) for text, inside, links in lines]
+    regions = _regions(weights, window, threshold)
+    if not regions:
         # no surge: a short page, all that is not kept out
-        return "\n".join(text for text, _, out in lines if not out)
-    return "\n".join(text for (text, inside, out), w in zip(lines[best[0] : best[1]], weights[best[0] : best[1]]) if w)
+        return "\n".join(text for text, _, _ in lines)
+    first, last = regions[0][0], regions[-1][1]
+    return "\n".join(text for text, inside, _ in lines[first:last] if inside or not known)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, threshold: int = THRESHOLD) -> DataFrame:

@@ -291,6 +291,15 @@ def test_html():
     assert html.main_text("") == "" and html.main_text("<script>x</script>") == "" and html.main_text("just text") == "just text"
 
 
+def test_html_joins_regions_and_keeps_their_lead():
+    long = lambda i: f"<p>{i} A long text that goes on for quite a while, with words, and then for another while.</p>"
+    menu = "".join(f"<div><a href=/{x}>{x}</a></div>" for x in ("home", "news", "sport"))
+    related = "<ul class=related>" + "<li>Elsewhere</li>" * 5 + "</ul>"
+    lead = "<h1><a href=/1>Title</a></h1><div><a href=/x>By X</a></div><div>3 May</div>"
+    got = html.main_text(menu + lead + long(1) + long(2) + related + long(3) + "<p>Short end.</p>" + menu).split("\n")
+    assert got[:3] == ["Title", "By X", "3 May"] and [x[0] for x in got[3:]] == ["1", "2", "3", "S"]
+
+
 def test_html_table(spark):
     rows = [(0, "u", "<article><p>a</p></article>"), (0, "u", "<article><p>a</p></article>"), (1, None, None), (None, "v", "")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(3))).collect()
