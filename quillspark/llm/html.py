@@ -1,10 +1,11 @@
 """Main text of HTML pages by the distribution of text over lines.
 
 Markup is stripped into lines, one per block. Lines of menus, notices, forms and the like are left out before anything
-is counted, lines that are links alone weigh nothing, and lines inside an article or main element weigh at least what
-starts a region. Text lengths are summed over a sliding window of lines; where the sum rises over the threshold a region
-surges, where it falls to nothing it dives. A region reaches from dive to dive, so the short lines that lead it belong
-to it. All that lies between the start of the first region and the end of the last is kept.
+is counted, and lines that are links alone weigh nothing. Text lengths are summed over a sliding window of lines; where
+the sum rises over the threshold a region surges, where it falls to nothing it dives. A region reaches from dive to
+dive, so the short lines that lead it belong to it. All that lies between the start of the first region and the end of
+the last is kept. Lines inside an article or main element have a bonus: they weigh twice their length, also when they are
+links, and if the regions with such lines hold most of the weight, only these count as first and last.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 THRESHOLD = 86
+BONUS = 2
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Their content is not markup.
@@ -122,14 +124,17 @@ def main_text(page: str, window: int = WINDOW, threshold: int = THRESHOLD) -> st
     lines = [(text, inside, links) for text, inside, out, links in lines_of(page) if not out]
     if not lines:
         return ""
-    known = any(inside for _, inside, _ in lines)
-    weights = [0 if (known and not inside) or (links and not inside) else max(len(text), threshold + 1 if known else 0) for text, inside, links in lines]
+    # inside an article or main element a line counts twice, and links count too
+    weights = [len(text) * BONUS if inside else 0 if links else len(text) for text, inside, links in lines]
     regions = _regions(weights, window, threshold)
     if not regions:
         # no surge: a short page, all that is not kept out
         return "\n".join(text for text, _, _ in lines)
-    first, last = regions[0][0], regions[-1][1]
-    return "\n".join(text for text, inside, _ in lines[first:last] if inside or not known)
+    sizes = [sum(weights[a:b]) for a, b in regions]
+    named = [any(inside for _, inside, _ in lines[a:b]) for a, b in regions]
+    if 2 * sum(w for w, own in zip(sizes, named) if own) > sum(sizes):
+        regions = [r for r, own in zip(regions, named) if own]
+    return "\n".join(text for text, _, _ in lines[regions[0][0] : regions[-1][1]])
 
 
 def extract(pages: DataFrame, window: int = WINDOW, threshold: int = THRESHOLD) -> DataFrame:

@@ -300,6 +300,16 @@ def test_html_joins_regions_and_keeps_their_lead():
     assert got[:3] == ["Title", "By X", "3 May"] and [x[0] for x in got[3:]] == ["1", "2", "3", "S"]
 
 
+def test_html_article_is_only_a_bonus():
+    long = "<p>A long text that goes on for quite a while, with words, and then for another while.</p>"
+    menu = "".join(f"<div><a href=/{x}>{x}</a></div>" for x in ("home", "news", "sport"))
+    teasers = "<article><p>One reader says that all of it is true.</p></article><article><p>A teaser.</p></article>"
+    assert html.main_text(menu + "<div>" + long * 5 + "</div>" + teasers).count("A long text") == 5
+    # the window's sums decide, also on pages with an article
+    page = "<div>A line.</div>" + menu + "<article>" + long * 5 + "</article>" + menu + "<div>" + long + "</div>"
+    assert html.main_text(page).count("\n") == 4 and html.main_text(page, threshold=9999).startswith("A line.")
+
+
 def test_html_table(spark):
     rows = [(0, "u", "<article><p>a</p></article>"), (0, "u", "<article><p>a</p></article>"), (1, None, None), (None, "v", "")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(3))).collect()
