@@ -13,7 +13,9 @@ from quillspark.operators import evaluate
 
 
 def vectorise(streams: DataFrame, no_below: int, no_above: float, column: str = "grams") -> tuple[DataFrame, CountVectorizerModel]:
-    model = CountVectorizer(inputCol=column, outputCol="counts", minDF=float(no_below), maxDF=no_above, vocabSize=1 << 18).fit(streams)
+    """Counts of all terms of corpus.dictionary(streams, column, no_below, no_above), however many."""
+    most = no_above if no_above < 1 else float(1 << 62)  # 1.0 would be read as one document
+    model = CountVectorizer(inputCol=column, outputCol="counts", minDF=float(no_below), maxDF=most, vocabSize=(1 << 31) - 1).fit(streams)
     return model.transform(streams), model
 
 
@@ -25,9 +27,9 @@ def fit(counts: DataFrame, k: int, passes: int = 10, seed: int = 42, online: boo
 
 def topic_words(model: LDAModel, vocabulary: list[str], topn: int, name: str) -> DataFrame:
     """model, topic, rank, word by falling probability, ties by term number."""
-    described = model.describeTopics(topn).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("at", "t"))
-    words = described.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, word string")
-    return described.select("topic", (F.col("at") + 1).alias("rank"), F.col("t.termIndices").alias("i")).join(words, "i").select(F.lit(name).alias("model"), "topic", "rank", "word")
+    described = model.describeTopics(topn)
+    words = [(name, r.topic, rank, vocabulary[i]) for r in described.select("topic", "termIndices").collect() for rank, i in enumerate(r.termIndices, 1)]  # k * topn rows
+    return described.sparkSession.createDataFrame(words, "model string, topic int, rank int, word string")
 
 
 def grid_search(streams: DataFrame, vocabulary: DataFrame, ks: list[int], no_below: int, no_above: float, topn: int = 25, passes: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.config import Config, load_config
 from quillspark.functions import stats
 from quillspark.functions import text as tx
-from quillspark.operators import corpus, evaluate, labeling, sentiment, terms, topics
+from quillspark.operators import corpus, evaluate, labeling, lda, sentiment, terms, topics
 from quillspark.sources import io
 from quillspark.streaming.predict import predict_stream
 
@@ -200,3 +200,10 @@ def test_stream(spark, tmp_path):
     q.stop()
     want = {(r.doc_id, r.topic) for r in topics.nearest_topics(docs, centres).collect()}
     assert {(r.doc_id, r.topic) for r in spark.table("predicted").collect()} == want
+
+
+def test_lda_counts_every_term(spark):
+    n = (1 << 18) + 1000
+    streams = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.when(F.col("id") < 2, n).otherwise(1)), lambda i: F.concat(F.lit("t"), i)).alias("grams"))
+    for no_above, terms_ in ((0.5, n - 1), (1.0, n)):
+        assert len(lda.vectorise(streams, 2, no_above)[1].vocabulary) == terms_ == corpus.dictionary(streams, "grams", 2, no_above).count()
