@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +20,19 @@ def vectorise(streams: DataFrame, no_below: int, no_above: float, column: str =
 
 
 def fit(counts: DataFrame, k: int, passes: int = 10, seed: int = 42, online: bool = True) -> LDAModel:
-    """passes are rounds of mini batches that together see the corpus about as often."""
-    lda = LDA(k=k, seed=seed, featuresCol="counts", maxIter=max(2, passes), optimizer="online" if online else "em", optimizeDocConcentration=online)
-    return lda.setSubsamplingRate(1.0 if passes < 2 else 0.5).fit(counts)
+    """Every pass reads each document once. The optimizer is set up in the JVM, as the Python class always samples with replacement."""
+    if not online:
+        return LDA(k=k, seed=seed, featuresCol="counts", maxIter=max(2, passes), optimizer="em", optimizeDocConcentration=False).fit(counts)
+    spark = counts.sparkSession
+    ml, mllib = spark._jvm.org.apache.spark.ml.clustering, spark._jvm.org.apache.spark.mllib.clustering
+    optimizer = mllib.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False).setOptimizeDocConcentration(True)
+    cached = counts.is_cached
+    kept = counts if cached else counts.select("counts").persist()
+    documents = getattr(getattr(ml, "LDA$"), "MODULE$").getOldDataset(kept._jdf, "counts")
+    model = mllib.LDA().setK(k).setMaxIterations(passes).setSeed(seed).setOptimizer(optimizer).run(documents)
+    if not cached:
+        kept.unpersist()
+    return LocalLDAModel(ml.LocalLDAModel(f"lda_{k}", model.vocabSize(), model, spark._jsparkSession)).setFeaturesCol("counts").setSeed(seed)
 
 
 def topic_words(model: LDAModel, vocabulary: list[str], topn: int, name: str) -> DataFrame:

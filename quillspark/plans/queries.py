@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.config import Config
 from quillspark.functions import stats
 from quillspark.functions import text as tx
 from quillspark.functions.vectors import as_doubles, normalise
@@ -630,7 +631,7 @@ def q_per_topic_union(spark, d):
 def q_lda_topics(spark, d):
     t = fx.tokenized(spark, d).select("doc_id", F.col("stream").alias("grams"))
     counts, vectorizer = lda.vectorise(t, 3, 0.5)
-    return lda.topic_words(lda.fit(counts, 5, 4), vectorizer.vocabulary, 10, "LDA (K=5)")
+    return lda.topic_words(lda.fit(counts, 5, Config().passes), vectorizer.vocabulary, 10, "LDA (K=5)")
 
 
 # -- run tables (literals) ---------------------------------------------------------------------------------------------

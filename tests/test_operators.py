@@ -207,3 +207,10 @@ def test_lda_counts_every_term(spark):
     streams = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.when(F.col("id") < 2, n).otherwise(1)), lambda i: F.concat(F.lit("t"), i)).alias("grams"))
     for no_above, terms_ in ((0.5, n - 1), (1.0, n)):
         assert len(lda.vectorise(streams, 2, no_above)[1].vocabulary) == terms_ == corpus.dictionary(streams, "grams", 2, no_above).count()
+
+
+def test_lda_reads_each_document_once_a_pass(spark):
+    streams = spark.range(40).select(F.array_repeat(F.concat(F.lit("t"), "id"), 100).alias("grams"))
+    model = lda.fit(lda.vectorise(streams, 1, 1.0)[0], 2, 10)
+    seen = model.topicsMatrix().toArray().sum(axis=1)  # of each term: what its one document has added
+    assert len(seen) == 40 and seen.min() > 20 and seen.max() - seen.min() < 3
