@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +32,23 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _MARKS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond share sharing social related recommended widget complementary contentinfo search alert dialog skip pagination pager toolbar login signup".split())
 _MAIN = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Inline elements; open ones are not followed.
+_FORMATTING = set("a abbr b big cite code em font i kbd label mark nobr q s small span strike strong sub sup tt u var".split())
+#: Elements beyond which an end tag ends nothing.
+_SCOPES = ("table", "td", "th", "caption")
+_LISTS = (*_SCOPES, "ul", "ol", "menu")
+_TABLE = {"table", "thead", "tbody", "tfoot", "tr", "td", "th"}
+_INSIDE_P = {"td", "th", "tr", "thead", "tbody", "tfoot", "body", "html", "head", "title"}
+_IN_HEAD = {"html", "head", "title", "meta", "link", "base", "style", "script", "noscript", "template"}
+#: Start tags that end elements whose end tag may be left out: (these, unless one of those is between).
+_IMPLIED = {
+    "li": (("li",), _LISTS),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), (*_SCOPES, "dl"))),
+    **dict.fromkeys(("td", "th"), (("td", "th"), ("table",))),
+    "tr": (("tr",), ("table",)),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot"), ("table",))),
+    **dict.fromkeys(("option", "optgroup"), (("option",), ("select",))),
+}
 _WORD = re.compile(r"\w")
 
 
@@ -43,11 +60,62 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+class _Open(list):
+    """Names of the open elements, and of each name its places; elements whose end tag is left out end as in HTML."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self))
+        if name in _BLOCKS or name in _DROPPED or name in _CELLS:
+            self.blocks.append(len(self))
+        self.append(name)
+
+    def cut(self, k: int) -> None:
+        """Ends the element at place k and all inside it."""
+        while len(self) > k:
+            self.places[self.pop()].pop()
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+
+    def nearest(self, names: Iterable[str]) -> int:
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
+
+    def ended_by(self, name: str, dropped: int) -> int:
+        """Place of the element that an end tag ends, or -1: a stray end tag ends nothing."""
+        if name in ("body", "html"):
+            return -1
+        k = self.nearest(_HEADINGS if name in _HEADINGS else (name,))
+        if k < 0 or k == dropped or name in _TABLE:
+            return k if k > self.nearest(("table",)) or name == "table" or k < 0 else -1
+        if name in _FORMATTING or name in _BLOCKS or name in _DROPPED:
+            return k if k > self.nearest(_LISTS if name == "li" else _SCOPES) else -1
+        return k if not self.blocks or k > self.blocks[-1] else -1
+
+    def implied_by(self, name: str) -> int:
+        """Place of the element that a start tag ends, or -1."""
+        found = -1
+        if name in _IMPLIED:
+            ended, inside = _IMPLIED[name]
+            k = self.nearest(ended)
+            found = k if k > self.nearest(inside) else -1
+        if name in _BLOCKS and name not in _INSIDE_P or name in ("menu", "dialog"):
+            k = self.nearest(("p",))
+            if k > self.nearest(_SCOPES):
+                found = k if found < 0 else min(k, found)
+        if name not in _IN_HEAD and "head" in self.places:
+            found = k if (k := self.nearest(("head",))) >= 0 else found
+        return found
+
+
 def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
     """(text, lies in an article or main element, is kept out, is links alone) of each block, in page order; texts are trimmed and not empty. A heading is never links alone."""
     out: list[tuple[str, bool, bool, bool]] = []
     parts: list[str] = []
-    main, dropped, depth = 0, "", 0
+    stack, dropped = _Open(), -1  # dropped: place in the stack of the element that is kept out
     link, heading, plain = False, False, False
     at = 0
 
@@ -61,9 +129,15 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append((text, main > 0, bool(dropped), not plain and not heading))
+            out.append((text, stack.nearest(_MAIN) >= 0, dropped >= 0, not plain and not heading))
         link, plain = False, False
 
+    def end_dropped() -> None:
+        nonlocal dropped
+        if len(stack) <= dropped:
+            close()
+            dropped = -1
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -87,18 +161,20 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
             link = not ends
         elif name in _CELLS:
             parts.append(" ")
-        if dropped:
-            if name == dropped and not closed:
-                depth += -1 if ends else 1
-                if not depth:
-                    dropped = ""
-            elif name == "body" and dropped == "head":
-                dropped, depth = "", 0
-        elif not ends and not closed and name not in _VOID and (name in _DROPPED or (name not in _MAIN and name not in ("body", "html") and _marked(attributes))):
-            close()
-            dropped, depth = name, 1
-        if name in _MAIN and not dropped:
-            main = max(0, main + (-1 if ends else 1))
+        if ends:
+            if (k := stack.ended_by(name, dropped)) >= 0:
+                stack.cut(k)
+        elif name not in _VOID and not closed:
+            if (k := stack.implied_by(name)) >= 0:
+                stack.cut(k)
+            end_dropped()
+            starts = dropped < 0 and (name in _DROPPED or (name not in _MAIN and name not in ("body", "html") and _marked(attributes)))
+            if starts:
+                close()
+                dropped = len(stack)
+            if name not in _FORMATTING or starts or (dropped >= 0 and name == stack[dropped]):
+                stack.push(name)
+        end_dropped()
     close()
     return out
 

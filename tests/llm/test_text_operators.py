@@ -310,6 +310,20 @@ def test_html_article_is_only_a_bonus():
     assert html.main_text(page).count("\n") == 4 and html.main_text(page, threshold=9999).startswith("A line.")
 
 
+def test_html_end_tags_left_out():
+    text = lambda page: html.main_text(page).split("\n")
+    assert text("<article><p class=ad>Buy<p>One<p>Two</p><p>Three</article>") == ["One", "Two", "Three"]
+    assert text("<ul><li class=share>Share<li>One<li>Two</ul><p>Three") == ["One", "Two", "Three"]
+    assert text("<table><tr><td class=sidebar>Side<td>One<tr><td>Two</table><p>Three") == ["One", "Two", "Three"]
+    assert text("<table><tr class=ad><td>Buy<tr><td>One</table>") == ["One"]
+    assert text("<dl><dt class=ad>Buy<dd>One</dl><div><div class=ad>Buy<div>Buy</div></div></div><p>Two") == ["One", "Two"]
+    assert text("<section><span class=ad>Buy <b>it</section><p>One") == ["One"]
+    assert text("<section><form>Name<section>More</section></section><p>One") == ["One"]
+    assert text("<div class=ad><ul><li>Buy<li>Buy</ul><p>Buy</b></li></td></div><p>One") == ["One"]
+    assert text("<span class=ad>Buy<span>Buy</span>Buy</span>One") == ["One"]
+    assert text("<head><title>T</title><p>One") == ["One"]
+
+
 def test_html_table(spark):
     rows = [(0, "u", "<article><p>a</p></article>"), (0, "u", "<article><p>a</p></article>"), (1, None, None), (None, "v", "")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(3))).collect()
