@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
@@ -19,6 +20,11 @@ def vectorise(streams: DataFrame, no_below: int, no_above: float, column: str =
     return model.transform(streams), model
 
 
+def shown(model: CountVectorizerModel):
+    """The vocabulary where it lies in the JVM, so that only the words asked for come over."""
+    return model._java_obj.vocabulary()
+
+
 def fit(counts: DataFrame, k: int, passes: int = 10, seed: int = 42, online: bool = True) -> LDAModel:
     """Every pass reads each document once. The optimizer is set up in the JVM, as the Python class always samples with replacement."""
     if not online:
@@ -35,7 +41,7 @@ def fit(counts: DataFrame, k: int, passes: int = 10, seed: int = 42, online: boo
     return LocalLDAModel(ml.LocalLDAModel(f"lda_{k}", model.vocabSize(), model, spark._jsparkSession)).setFeaturesCol("counts").setSeed(seed)
 
 
-def topic_words(model: LDAModel, vocabulary: list[str], topn: int, name: str) -> DataFrame:
+def topic_words(model: LDAModel, vocabulary: Sequence[str], topn: int, name: str) -> DataFrame:
     """model, topic, rank, word by falling probability, ties by term number."""
     described = model.describeTopics(topn)
     words = [(name, r.topic, rank, vocabulary[i]) for r in described.select("topic", "termIndices").collect() for rank, i in enumerate(r.termIndices, 1)]  # k * topn rows
@@ -51,7 +57,7 @@ def grid_search(streams: DataFrame, vocabulary: DataFrame, ks: list[int], no_bel
         start = time.perf_counter()
         model = fit(counts, k, passes, seed)
         seconds.append((f"LDA (K={k})", k, time.perf_counter() - start))
-        own = topic_words(model, vectorizer.vocabulary, topn, f"LDA (K={k})")
+        own = topic_words(model, shown(vectorizer), topn, f"LDA (K={k})")
         words = own if words is None else words.unionByName(own)
     counts.unpersist()
     fits = streams.sparkSession.createDataFrame(seconds, "model string, k int, fit_seconds double")

@@ -631,7 +631,7 @@ def q_per_topic_union(spark, d):
 def q_lda_topics(spark, d):
     t = fx.tokenized(spark, d).select("doc_id", F.col("stream").alias("grams"))
     counts, vectorizer = lda.vectorise(t, 3, 0.5)
-    return lda.topic_words(lda.fit(counts, 5, Config().passes), vectorizer.vocabulary, 10, "LDA (K=5)")
+    return lda.topic_words(lda.fit(counts, 5, Config().passes), lda.shown(vectorizer), 10, "LDA (K=5)")
 
 
 # -- run tables (literals) ---------------------------------------------------------------------------------------------
