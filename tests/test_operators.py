@@ -214,3 +214,10 @@ def test_lda_reads_each_document_once_a_pass(spark):
     model = lda.fit(lda.vectorise(streams, 1, 1.0)[0], 2, 10)
     seen = model.topicsMatrix().toArray().sum(axis=1)  # of each term: what its one document has added
     assert len(seen) == 40 and seen.min() > 20 and seen.max() - seen.min() < 3
+
+
+def test_embedding_reads_the_whole_text(spark):
+    texts = [["a"] * 600, ["a"] * 600 + ["b"], ["c"]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, tokens array<string>")
+    got = topics.HashingEmbedder(max_length=Config().max_length).encode(frame).orderBy("doc_id").collect()
+    assert got[0].embedding != got[1].embedding
