@@ -21,18 +21,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where the session has none (tests)."""
+    """The session's checkpoint folder; a temporary one only where the session has none and all of it runs on one machine (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{tempfile.gettempdir()}/quillspark-checkpoints"
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder as compressed Parquet and read it back: later uses do not recompute it."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """Write once to the shared folder as compressed Parquet and read it back: later uses do not recompute it.
+
+    The table lies in a folder of the application and is deleted when the application ends, or earlier by forget().
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, files = _hadoop_path(spark, folder)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def forget(table_: DataFrame) -> None:
+    """Deletes a table of saved() that nothing reads any more."""
+    where, files = _hadoop_path(table_.sparkSession, table_._saved_path)
+    files.delete(where, True)
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,9 +8,11 @@ hashes, and gets back one byte per token. A frequent token so costs an entry per
 Equal texts are found first, by hashes alone, and only one of them is counted. A token of one text alone can be in no
 intersection, so two sets also need few enough of such tokens between them.
 
-Sets that are left are linked in two ways. Sets with equal smallest hashes are compared with the leaders of their
-group, which ties large groups of near copies together at the cost of their size. Then all pairs of different
-components that share prefix tokens under every order are verified, so no link between components is lost.
+Sets that are left meet by the tokens of their prefixes under the first order. First each set meets only the most
+central set of each token (that of the most frequent tokens, which in a group of near copies is the one nearest to all),
+then the most central one that is not tied yet; so a group of near copies is tied at the cost of its size. What is left
+are pairs of different components, and all of them are looked at. A pair that meets must also share a token of the
+prefixes under two other orders before its sets are fetched and compared.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import gram_hashes, mix64, saved, slices, text_buffers, word_hashes, word_spans
@@ -29,14 +31,13 @@ from quillspark.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
-CHUNK_DOCS = 2000
-RANGE_DOCS = 4000
-#: Members of a group of equal smallest hashes that one task compares with their leaders.
-GROUP = 512
+#: A chunk and a range are what a task holds at once; with n documents there are at most n * n / 24 million messages, and never more than tokens.
+CHUNK_DOCS = 3000
+RANGE_DOCS = 8000
 _SEED = 55
-_LEADERS = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B)
-_ORDERS = 3
-_SET_FIELDS = "doc_id long, text_hash long, n long, known long, h1 long, h2 long, tokens binary, prefixes binary"
+#: Orders by hashes, beside the first one by document frequency.
+_HASH_ORDERS = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
+_SET_FIELDS = "doc_id long, text_hash long, n long, known long, h1 long, h2 long, weight long, tokens binary, order1 array<long>, order2 array<int>, order3 array<int>"
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -81,9 +82,8 @@ def _chunk_tokens(sets: list[np.ndarray], ranges_: int) -> tuple[np.ndarray, np.
 
 def _copies_in(frame: pa.Table, listed: list[bytes]) -> np.ndarray:
     """Which rows of a chunk repeat the text of a smaller document."""
-    ids = frame.column("doc_id").to_pylist()
-    known = set(np.frombuffer(b"".join(listed), np.int64).tolist())
-    return np.array([i is None or i in known for i in ids], bool)
+    known = {*map(tuple, np.frombuffer(b"".join(listed), np.int64).reshape(-1, 2).tolist())}
+    return np.array([i is None or (i, h) in known for i, h in zip(frame.column("doc_id").to_pylist(), frame.column("text_hash").to_pylist())], bool)
 
 
 def _ask(words: int, ranges_: int):
@@ -103,15 +103,27 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     """A class of document frequency for each token that a chunk has sent: 0 for one document."""
     lists = [np.frombuffer(t, np.uint32) for t in frame["tokens"]]
     counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint16) for c in frame["counts"]])
-    _, place = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(place, weights=counts)
-    kind = np.where(total < 2, 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(total, 2))))).astype(np.uint8)[place]
     cuts = np.cumsum([len(x) for x in lists])[:-1]
+    tokens = np.concatenate(lists)
+    order = np.argsort(tokens).astype(np.uint32)
+    tokens = tokens[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    total = np.add.reduceat(counts[order], first, dtype=np.int64)
+    classes = np.where(total < 2, 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(total, 2))))).astype(np.uint8)
+    kind = np.empty(len(tokens), np.uint8)
+    kind[order] = np.repeat(classes, np.diff(np.append(first, len(tokens))))
     return pd.DataFrame({"chunk": frame["chunk"], "range": frame["range"], "kinds": [zlib.compress(k.tobytes(), 1) for k in np.split(kind, cuts)]})
 
 
+def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    sizes = [0 if v is None else len(v) for v in values]
+    flat = np.concatenate([*(v for v in values if v is not None), np.zeros(0, np.int64)])
+    mask = pa.array([v is None for v in values], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind), mask=mask)
+
+
 def _survivors(words: int, ranges_: int, percent: int):
-    """All documents with the size and the hash of their set; the set and its prefixes where it may have a partner."""
+    """All documents with the size and the hash of their set; its known tokens and its prefixes where it may have a partner."""
 
     def run(frame: pa.Table, answers: pa.Table) -> pa.Table:
         asked = [(r, b) for r, b in zip(answers.column("range").to_pylist(), answers.column("kinds").to_pylist())]
@@ -122,43 +134,63 @@ def _survivors(words: int, ranges_: int, percent: int):
         for r, blob in asked:
             if r >= 0:
                 kinds[bounds[r] : bounds[r + 1]] = np.frombuffer(zlib.decompress(blob), np.uint8)
-        h1, h2, known, kept, prefixes = [], [], [], [], []
+        numbers: list[list[int]] = [[], [], [], []]
+        kept: list[bytes | None] = []
+        prefixes: list[list[np.ndarray | None]] = [[], [], []]
         for own, copy in zip(sets, again):
             n = len(own)
-            h1.append(int(mix64(own).sum(dtype=np.uint64).astype(np.int64)) if n else 0)
-            h2.append(int(mix64(own ^ np.uint64(_SEED)).sum(dtype=np.uint64).astype(np.int64)) if n else 0)
             first = n - needed(n, percent) + 1
             kind = kinds[np.searchsorted(tokens, own)] if n and not copy else np.zeros(n, np.uint8)
-            known.append(int(np.count_nonzero(kind)))
-            if not n or n - known[-1] >= first:
-                kept.append(None), prefixes.append(None)
+            known = int(np.count_nonzero(kind))
+            hashes = (int(mix64(x).sum(dtype=np.uint64).astype(np.int64)) if n else 0 for x in (own, own ^ np.uint64(_SEED)))
+            for to, value in zip(numbers, (known, *hashes, int(kind.sum(dtype=np.int64)) * 1000 // max(n, 1))):
+                to.append(value)
+            if not n or n - known >= first:
+                kept.append(None)
+                for to in prefixes:
+                    to.append(None)
                 continue
-            orders = [np.lexsort((own, kind))[:first], np.lexsort((mix64(own), kind))[:first], np.argsort(mix64(own ^ np.uint64(_LEADERS[0])))[:first]]
-            kept.append(own.tobytes())
-            prefixes.append(b"".join(np.array([len(x)], np.uint64).tobytes() + x.tobytes() for o in orders for x in [own[o][kind[o] > 0]]))
-        columns = [frame.column("doc_id"), frame.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(v, pa.int64()) for v in (known, h1, h2)), pa.array(kept, pa.binary()), pa.array(prefixes, pa.binary())]
+            kept.append(own[kind > 0].tobytes())
+            orders = [np.lexsort((own, kind))[:first], *(np.argsort(mix64(own ^ np.uint64(salt)))[:first] for salt in _HASH_ORDERS)]
+            one, *others = (own[o][kind[o] > 0] for o in orders)
+            prefixes[0].append(one.view(np.int64))
+            for to, x in zip(prefixes[1:], others):
+                to.append(x.astype(np.uint32).view(np.int32))
+        columns = [frame.column("doc_id"), frame.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(v, pa.int64()) for v in numbers), pa.array(kept, pa.binary())]
+        columns += [_lists(v, t) for v, t in zip(prefixes, (pa.int64(), pa.int32(), pa.int32()))]
         return pa.table(columns, names=[f.split()[0] for f in _SET_FIELDS.split(", ")])
 
     return run
 
 
 def equal_texts(docs: DataFrame) -> DataFrame:
-    """u, v: each document and the smallest one with the same text, where that is another."""
-    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("u"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"))
-    first = hashed.groupBy("h1", "h2").agg(F.min("u").alias("v"), F.max("u").alias("last")).where("v < last").select("h1", "h2", "v")
-    return hashed.join(first, ["h1", "h2"]).where("u <> v").select("u", "v").distinct()
+    """u, text_hash, v: each document and the smallest one with the same text, where that is another."""
+    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("u"), F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit("text"), "text").alias("h2"))
+    first = hashed.groupBy("text_hash", "h2").agg(F.min("u").alias("v"), F.max("u").alias("last")).where("v < last").select("text_hash", "h2", "v")
+    # written, so that a hot text can be split when it is joined
+    return hashed.join(saved(first, "first-texts"), ["text_hash", "h2"]).where("u <> v").select("u", "text_hash", "v").distinct()
+
 
+def _chunk_of(chunks: int, *columns: Column) -> Column:
+    """Rows with a null id, which link with nothing, are dealt by their text."""
+    return F.pmod(F.xxhash64(F.coalesce(*columns)), F.lit(chunks)).cast("int").alias("chunk")
 
-def _chunk_of(chunks: int, column: str) -> F.Column:
-    return F.pmod(F.xxhash64(column), F.lit(chunks)).cast("int").alias("chunk")
+
+def _pack_copies(frame: pa.Table) -> pa.Table:
+    both = np.stack([frame.column(c).to_numpy().astype(np.int64) for c in ("u", "text_hash")], axis=1)
+    return pa.table({"chunk": frame.column("chunk").slice(0, 1), "ids": pa.array([both.tobytes()], pa.binary())})
 
 
 def document_sets(docs: DataFrame, copies: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n, known, h1, h2, and tokens with prefixes of the sets that may have a partner."""
+    """doc_id, text_hash, n, known, h1, h2, weight, and known tokens with prefixes of the sets that may have a partner.
+
+    weight is the mean class of document frequency of the tokens.
+    """
     n_docs = docs.count()
     chunks, ranges_ = max(1, -(-n_docs // CHUNK_DOCS)), max(1, -(-n_docs // RANGE_DOCS))
-    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), _chunk_of(chunks, "doc_id"))
-    left_out = copies.select(_chunk_of(chunks, "u"), "u").groupBy("chunk").applyInArrow(lambda t: pa.table({"chunk": t.column("chunk").slice(0, 1), "ids": pa.array([t.column("u").to_numpy().astype(np.int64).tobytes()], pa.binary())}), "chunk int, ids binary")
+    hashed = F.xxhash64("text")
+    dealt = docs.select("doc_id", "text", hashed.alias("text_hash"), _chunk_of(chunks, F.col("doc_id"), hashed))
+    left_out = copies.select(_chunk_of(chunks, F.col("u")), "u", "text_hash").groupBy("chunk").applyInArrow(_pack_copies, "chunk int, ids binary")
     left_out = saved(left_out, "text-copies")
     asked = dealt.groupBy("chunk").cogroup(left_out.groupBy("chunk")).applyInArrow(_ask(words, ranges_), "range int, chunk int, tokens binary, counts binary")
     answers = asked.groupBy("range").applyInPandas(_answer, "chunk int, range int, kinds binary")
@@ -166,98 +198,97 @@ def document_sets(docs: DataFrame, copies: DataFrame, words: int = WORDS, percen
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_survivors(words, ranges_, percent), _SET_FIELDS)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+def _linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
+    """Whether sets of n_a and n_b tokens, of which a and b are those that other texts have, share enough."""
+    if min(len(a), len(b), n_a, n_b) * 100 < percent * max(n_a, n_b):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _leaders(percent: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", "rep"], kind="stable")
-        leaders: list[tuple[int, np.ndarray]] = []
-        edges = []
-        for rep, blob in zip(frame["rep"], frame["tokens"]):
-            own = np.frombuffer(blob, np.uint64)
-            for leader, tokens in leaders:
-                if _linked(own, tokens, percent):
-                    edges.append((rep, leader))
-                    break
-            else:
-                leaders.append((rep, own))
-        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+    return 100 * both >= percent * (n_a + n_b - both)
+
+
+def _verified(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b, left, right = (c.to_pylist() for c in batch.columns)
+            ok = [i for i in range(len(a)) if _linked(np.frombuffer(left[i], np.uint64), np.frombuffer(right[i], np.uint64), n_a[i], n_b[i], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["u", "v"])
 
     return run
 
 
-def _group_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links of sets to leaders of their group of equal smallest hashes, under several hash functions."""
+def verified_links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """u, v: the pairs (a, b) that share a prefix token under each of the other orders, and then enough of their sets."""
+    orders = lambda x: sets.select(F.col("rep").alias(x), F.col("order2").alias(f"{x}2"), F.col("order3").alias(f"{x}3"))
+    # the side that may repeat much is joined while rows are short
+    met = pairs.join(orders("b"), "b").join(orders("a"), "a").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+    met = saved(met.select("a", "b"), "candidates")
+    side = lambda x, name: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(name))
+    met = met.join(side("b", "right"), "b").join(side("a", "left"), "a")
+    return met.select("a", "b", "n_a", "n_b", "left", "right").mapInArrow(_verified(percent), "u long, v long")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            for k, salt in enumerate(_LEADERS):
-                low = np.array([mix64(t ^ np.uint64(salt)).min() for t in tokens], np.uint64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k] * len(tokens), pa.int32()), pa.array(low.view(np.int64))], names=["rep", "n", "tokens", "turn", "low"])
-
-    keyed = sets.select("rep", "n", "tokens").mapInArrow(keys, "rep long, n long, tokens binary, turn int, low long")
-    counts = keyed.groupBy("turn", "low").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    split = keyed.join(counts, ["turn", "low"]).withColumn("salt", F.pmod(F.xxhash64("turn", "rep"), F.ceil(F.col("members") / GROUP)))
-    return split.groupBy("turn", "low", "salt").applyInPandas(_leaders(percent), "u long, v long")
-
-
-def _prefixes(blob: bytes) -> list[np.ndarray]:
-    data, at, out = np.frombuffer(blob, np.uint64), 0, []
-    for _ in range(_ORDERS):
-        size = int(data[at])
-        out.append(data[at + 1 : at + 1 + size])
-        at += 1 + size
-    return out
 
+_FIELDS = ("rep", "component", "n", "known", "place")
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each token of the prefix under the first order."""
-    for batch in batches:
-        first = [_prefixes(b)[0].view(np.int64) for b in batch.column(4).to_pylist()]
-        rows = np.repeat(np.arange(len(first)), [len(x) for x in first])
-        tokens = np.concatenate([*first, np.zeros(0, np.int64)])
-        places = np.concatenate([*(np.arange(len(x)) for x in first), np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(places.astype(np.int32)), *(batch.column(k).take(pa.array(rows)) for k in range(4))], names=["token", "place", "rep", "n", "known", "component"])
 
+def _central(placed: DataFrame, *more: Column) -> DataFrame:
+    """The set of each token whose tokens are the most frequent ones, as columns with p_ before them."""
+    top = F.max_by(F.struct(*_FIELDS), F.struct("weight", (-F.col("rep")).alias("r"))).alias("top")
+    found = placed.groupBy("token").agg(top, *more)
+    return found.select("token", *(F.col(f"top.{c}").alias(f"p_{c}") for c in _FIELDS), *(c for c in found.columns if c not in ("token", "top")))
 
-def _verified(percent: int):
-    """Pairs that share a prefix token under the other orders too, and then enough of their sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, left, right, left_prefixes, right_prefixes = (c.to_pylist() for c in batch.columns)
-            ok = []
-            for i in range(len(a)):
-                orders = zip(_prefixes(left_prefixes[i])[1:], _prefixes(right_prefixes[i])[1:])
-                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in orders) and _linked(np.frombuffer(left[i], np.uint64), np.frombuffer(right[i], np.uint64), percent):
-                    ok.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["u", "v"])
+def _pivots(placed: DataFrame) -> DataFrame:
+    """The most central set of each token whose holders are of different components; p_least is the size of the smallest."""
+    found = _central(placed, F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("p_least"))
+    # written, so that a hot token can be split when it is joined
+    return saved(found.where("low < high").drop("low", "high"), "pivots")
+
+
+def _enough(x: str, n: Column, percent: int) -> Column:
+    """Whether the known tokens of a set from this place on suffice for a partner of n tokens."""
+    column = lambda c: F.col(f"{x}{c}")
+    return (column("known") - column("place")) * (100 + percent) >= (column("n") + n) * percent
 
-    return run
 
+def _pivot_pairs(placed: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    met = placed.join(pivots, "token").where("component <> p_component")
+    met = met.where(_enough("", F.col("p_n"), percent) & _enough("p_", F.col("n"), percent))
+    return met.select(F.col("rep").alias("a"), F.col("p_rep").alias("b")).distinct()
 
-def _candidates(sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix token under the first order and could share enough.
+
+def _left_pairs(placed: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that share a prefix token under the first order and could share enough.
 
     A set shares at most the `known` tokens that another text has; if a token is the first that two sets share, none of
     the known ones before it counts either. So a pair is proposed only where enough are left behind the token, and
-    every pair that links is proposed at its first shared token.
+    every pair that links is proposed at its first shared token. One side at least is outside the pivot's component.
     """
-    placed = sets.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "known", F.coalesce("component", "rep").alias("component"), "prefixes")
-    rows = saved(placed.mapInArrow(_prefix_rows, "token long, place int, rep long, n long, known long, component long"), "prefix-rows")
-    # a token whose holders are all of one component proposes nothing
-    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    rows = rows.join(mixed, "token")
-    side = lambda x: rows.select("token", F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "known", "component")))
-    enough = lambda x: (F.col(f"known_{x}") - F.col(f"place_{x}")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    fits = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & enough("a") & enough("b")
-    return side("a").join(side("b"), "token").where(fits).select("a", "b").distinct()
+    least = F.greatest(F.col("p_least"), F.ceil(F.col("n") * percent / 100))
+    rows = placed.join(pivots.select("token", "p_component", "p_least"), "token").where(_enough("", least, percent))
+    rows = saved(rows.select("token", "rep", "n", "known", "place", "component", (F.col("component") == F.col("p_component")).alias("main")), "left-rows")
+    a = rows.where("not main").select("token", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "known", "place", "component")))
+    b = rows.select("token", "main", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "known", "place", "component")))
+    fits = (F.col("a_component") != F.col("b_component")) & (F.col("main") | (F.col("a_rep") < F.col("b_rep"))) & _enough("a_", F.col("b_n"), percent) & _enough("b_", F.col("a_n"), percent)
+    return a.join(b, "token").where(fits).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+
+
+def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """u, v: links that connect all sets which the links of all pairs of sets connect."""
+    rows = saved(sets.select("rep", "n", "known", "weight", F.posexplode("order1").alias("place", "token")), "prefix-rows")
+    placed = rows.withColumn("component", F.col("rep"))
+    links = saved(verified_links(_pivot_pairs(placed, _pivots(placed), percent), sets, percent), "set-links")
+    for turn in ("pivots that are not tied", "all that is left"):
+        components = connected_components(links)
+        placed = rows.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        pivots = _pivots(placed)
+        if turn == "all that is left":
+            pairs = _left_pairs(placed, pivots, percent)
+        else:
+            outside = placed.join(pivots.select("token", "p_component"), "token").where("component <> p_component").drop("p_component")
+            pairs = _pivot_pairs(placed, saved(_central(outside), "pivots"), percent)
+        found = saved(verified_links(pairs, sets, percent), "set-links")
+        links = components.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found)
+    return links
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -272,16 +303,12 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     found = saved(document_sets(texts, copies, words, percent), "shingle-sets")
     known = found.where("tokens is not null and doc_id is not null")
     # equal sets are one class, represented by their smallest document
-    sets = saved(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("known").alias("known"), F.first("tokens").alias("tokens"), F.first("prefixes").alias("prefixes")), "set-classes")
+    first = (F.first(c).alias(c) for c in ("weight", "tokens", "order1", "order2", "order3"))
+    sets = saved(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("known").alias("known"), *first), "set-classes")
     member = known.select("doc_id", "n", "h1", "h2").join(sets.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    first = saved(_group_links(sets, percent), "leader-links")
-    pairs = saved(_candidates(sets, connected_components(first), percent), "candidates")
-    side = lambda x, name: sets.select(F.col("rep").alias(x), F.col("tokens").alias(name), F.col("prefixes").alias(f"{name}_prefixes"))
-    met = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
-    second = met.select("a", "b", "left", "right", "left_prefixes", "right_prefixes").mapInArrow(_verified(percent), "u long, v long")
-    blank = found.where("n = 0").select(F.col("doc_id").alias("u"))
-    ties = first.unionByName(second).unionByName(member).unionByName(copies.join(blank, "u", "left_anti"))
-    component = connected_components(ties)
+    blank = found.where("n = 0").select("doc_id", "text_hash")
+    copies = copies.join(blank, (copies["u"] == blank["doc_id"]) & (copies["text_hash"] == blank["text_hash"]), "left_anti").select("u", "v")
+    component = connected_components(set_links(sets, percent).unionByName(member).unionByName(copies))
     out = found.select("doc_id", "text_hash", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
