@@ -2,6 +2,8 @@
 
 Every vector is indexed. A shard holds a bounded number of vectors, so an index fits in a task; it is built once,
 written to the shared folder, and met by the queries in blocks. Equal vectors of a shard are one node of its graph.
+Shards are as large as a task's memory and time allow: a query looks at a number of vectors of a shard that hardly grows
+with the shard, so it looks at a smaller part of all the larger the shards are.
 """
 
 from __future__ import annotations
@@ -15,13 +17,18 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import saved
 
-SHARD_ROWS = 1536
-BLOCK_QUERIES = 2048
-DEGREE = 24
-BUILD_BEAM = 40
-SEARCH_BEAM = 64
+SHARD_ROWS = 16384
+#: Components of all vectors of a shard; wider vectors make smaller shards.
+SHARD_VALUES = 1 << 24
+#: Shards of small tables, of LEAST_ROWS vectors at least, so that more than one task works.
+LEAST_SHARDS, LEAST_ROWS = 8, 1024
+BLOCK_QUERIES = 8192
+DEGREE = 32
+BUILD_BEAM = 48
+SEARCH_BEAM = 128
 RELAX = 1.2
 _AT_ONCE = 3  # nodes of a beam that are expanded in one step
+_SIDE_BY_SIDE = 512  # queries that step together
 _INDEX = "dim int, shard int, ids binary, places binary, vectors binary, graph binary"
 
 
@@ -30,6 +37,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which change no digit, so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int) -> np.ndarray:
     """Node ids of each query's beam, nearest first, -1 where there are fewer; all queries step side by side."""
     m, n = len(q), len(x)
@@ -164,8 +176,12 @@ def valid_vectors(frame: DataFrame, id_column: str = "vec_id", vector_column: st
     return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
 
 
-def build_index(vectors: DataFrame, total: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    shards = max(1, -(-total // shard_rows))
+def shards_for(total: int, dim: int, shard_rows: int = SHARD_ROWS) -> int:
+    rows = max(1, min(shard_rows, SHARD_VALUES // max(dim, 1)))
+    return max(1, -(-total // rows), min(LEAST_SHARDS, -(-total // LEAST_ROWS)))
+
+
+def build_index(vectors: DataFrame, shards: int) -> DataFrame:
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     return saved(dealt.groupBy("dim", "shard").applyInPandas(_build, _INDEX), "graph-index")
 
@@ -179,10 +195,12 @@ def _searcher(k: int, beam: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         graph = np.frombuffer(row["graph"], np.int32).reshape(len(vectors), -1)
         x, out = _unit(vectors), []
         entry = entry_points(x)
+        vectors = _scaled(vectors)
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
-        for query_ids, blob in zip(frame["query_ids"], frame["query_vectors"]):
-            q_ids, q = np.frombuffer(query_ids, np.int64), np.frombuffer(blob, np.float64).reshape(-1, dim)
-            beams = beam_search(x, graph, entry, _unit(q), max(beam, k + 1))
+        blocks = ((np.frombuffer(i, np.int64), np.frombuffer(v, np.float64).reshape(-1, dim)) for i, v in zip(frame["query_ids"], frame["query_vectors"]))
+        for q_ids, given in ((i[a : a + _SIDE_BY_SIDE], v[a : a + _SIDE_BY_SIDE]) for i, v in blocks for a in range(0, len(i), _SIDE_BY_SIDE)):
+            q = _scaled(given)
+            beams = beam_search(x, graph, entry, _unit(given), max(beam, k + 1))
             who, column = np.nonzero(beams >= 0)
             node = beams[who, column]
             # k + 1 ids of a node are enough for the k nearest without the query itself
@@ -211,9 +229,9 @@ def search(frame: DataFrame, is_query: F.Column, k: int = 5, beam: int = SEARCH_
     out, so their names cannot clash.
     """
     vectors = valid_vectors(frame)
-    total = vectors.count()
-    shards = max(1, -(-total // shard_rows))
-    index = build_index(vectors, total, shard_rows)
+    total, dim = vectors.agg(F.count(F.lit(1)), F.max("dim")).first()
+    shards = shards_for(total, dim or 1, shard_rows)
+    index = build_index(vectors, shards)
     asked = vectors.where(is_query)
     blocks = max(1, -(-asked.count() // block_queries))
     packed = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(_pack_queries, "dim int, block int, query_ids binary, query_vectors binary")

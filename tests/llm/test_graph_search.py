@@ -28,5 +28,46 @@ def test_search(spark):
     assert not set(got.query_id) & {1000, 1050, 1100, 1150}
 
 
+def test_recall_on_the_embeddings(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = frame.toPandas()
+    x = np.array(rows["embedding"].tolist(), np.float64)
+    unit, ids = x / np.linalg.norm(x, axis=1, keepdims=True), rows["vec_id"].to_numpy()
+    for shard_rows in (1 << 14, 300):
+        got = graph_search.search(frame, F.col("vec_id") % 50 == 0, shard_rows=shard_rows).toPandas()
+        hits = 0
+        for q, own in got.groupby("query_id"):
+            sims = unit @ unit[ids == q][0]
+            sims[ids == q] = -2
+            hits += len({*ids[np.lexsort((ids, -sims))[:5]]} & {*own.vec_id})
+        assert got.query_id.nunique() == (ids % 50 == 0).sum() and hits / len(got) >= 0.9
+
+
+def test_one_large_shard():
+    """Hard data, 64 dimensions without structure: recall of a graph of 4,000 nodes."""
+    x = graph_search._unit(np.random.default_rng(1).normal(size=(4000, 64)))
+    q = x[:200]
+    found = graph_search.beam_search(x, graph_search.build_graph(x), graph_search.entry_points(x), q, graph_search.SEARCH_BEAM)
+    best = np.argsort(-(q @ x.T), axis=1)[:, :5]
+    assert np.mean([len({*a} & {*b}) / 5 for a, b in zip(best, found)]) >= 0.9
+
+
+def test_extreme_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, (v * 10.0 ** rng.choice([-300, -160, 0, 160, 300])).tolist()) for i, v in enumerate(x)]
+    rows += [(7, x[7].tolist()), (7, x[8].tolist()), (50, rows[50][1])]
+    got = graph_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got.groupby("query_id").size().to_dict() == {0: 5, 50: 5} and got.score.notna().all()
+    for r in got.itertuples():
+        assert r.query_id != r.vec_id
+        assert abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-12 or (r.vec_id == 7 and abs(r.score - unit[r.query_id] @ unit[8]) < 1e-12)
+
+
+def test_one_vector(spark):
+    assert graph_search.search(spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
 def test_no_vectors(spark):
     assert graph_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
