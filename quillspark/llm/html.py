@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 THRESHOLD = 86
 BONUS = 2
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_QUOTED = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Their content is not markup.
 _RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "object"}
+#: Without an end tag they reach to the end of the page.
+_TO_THE_END = {"script", "style", "textarea"}
 _DROPPED = _RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "audio", "video", "canvas"}
 _BLOCKS = set("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul aside head title".split())
 _CELLS = {"br", "td", "th", "option", "wbr", "img"}
@@ -111,13 +114,47 @@ class _Open(list):
         return found
 
 
+def tags_of(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
+    """(text before, name or None at the end, is an end tag, attributes) of each tag, in time linear in the page.
+
+    Comments and declarations are left out. A quote that never ends means nothing, nor do any quotes behind it; what
+    looks like a tag but has no > behind it is text.
+    """
+    at = start = 0
+    last, quotes, no_end = page.rfind(">"), True, set()
+    parts: list[str] = []
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), i):
+            parts.append(page[start:i])
+            end = page.find("-->", i + 4) + 3 if page.startswith("<!--", i) else page.find(">", i) + 1
+            at = start = end if end > 2 else len(page)
+            continue
+        m = _OPEN.match(page, i) if i < last else None
+        if m is None:
+            at = i + 1
+            continue
+        rest = _QUOTED.match(page, m.end()) if quotes else None
+        quotes = rest is not None
+        end = rest.end() if rest else page.find(">", m.end()) + 1
+        parts.append(page[start:i])
+        name, attributes = m[2].lower(), page[m.end() : end - 1]
+        yield "".join(parts), name, m[1] == "/", attributes
+        parts, at = [], end
+        if name in _RAW and not m[1] and not attributes.rstrip().endswith("/") and name not in no_end:
+            found = re.compile(rf"</{name}\s*+>", re.I).search(page, at)
+            if found is None:
+                no_end.add(name)
+            at = found.end() if found else len(page) if name in _TO_THE_END else at
+        start = at
+    yield "".join(parts) + page[start:], None, False, ""
+
+
 def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
     """(text, lies in an article or main element, is kept out, is links alone) of each block, in page order; texts are trimmed and not empty. A heading is never links alone."""
     out: list[tuple[str, bool, bool, bool]] = []
     parts: list[str] = []
     stack, dropped = _Open(), -1  # dropped: place in the stack of the element that is kept out
     link, heading, plain = False, False, False
-    at = 0
 
     def add(text: str) -> None:
         nonlocal plain
@@ -138,21 +175,12 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
             close()
             dropped = -1
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        ends, attributes = (m[1] or m[4] or "") == "/", m[3] or m[6] or ""
+    for text, name, ends, attributes in tags_of(page):
+        add(text)
         closed = attributes.rstrip().endswith("/")
-        if not ends and name in _RAW and not closed:
-            found = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = found.end() if found else len(page) if name in ("script", "style", "textarea") else at
+        if name is None:
+            break
+        if name in _RAW:  # its content is not in the texts
             continue
         if name in _BLOCKS or name in _DROPPED:
             close()
@@ -168,7 +196,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
             if (k := stack.implied_by(name)) >= 0:
                 stack.cut(k)
             end_dropped()
-            starts = dropped < 0 and (name in _DROPPED or (name not in _MAIN and name not in ("body", "html") and _marked(attributes)))
+            kept_out = name in _DROPPED and not (name == "header" and stack.nearest(_MAIN) >= 0)  # an article's own header holds its title
+            starts = dropped < 0 and (kept_out or (name not in _MAIN and name not in ("body", "html") and _marked(attributes)))
             if starts:
                 close()
                 dropped = len(stack)
