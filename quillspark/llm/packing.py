@@ -26,12 +26,22 @@ from quillspark.llm.common import slices, text_buffers
 
 CAPACITY = 2048
 SHARD_DOCS = 8192
+
+
+@lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern:
+    """Code points that this Python does not know; the tokenizer library may know newer ones, so it gets their texts."""
+    known = np.array([unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)] + [True])
+    bounds = np.flatnonzero(np.diff(np.concatenate([[True], known]))).reshape(-1, 2)
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in bounds.tolist()) + "]")
+
+
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
 class WordBPE:
-    """The ids of a tokenizers file with word ends, by cached merging; texts that hold a special token go to the library."""
+    """The ids of a tokenizers file with word ends, by cached merging; texts that hold a special token or a code point unknown here go to the library."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -47,7 +57,7 @@ class WordBPE:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.path, self.library = path, None
+        self.path, self.library, self.unknown = path, None, _unassigned()
         self.cache = WordCache(self._encode_words)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +85,10 @@ class WordBPE:
         return ids, np.diff(behind[cuts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        by_library = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        lists = [[] if any(s in t for s in self.special) else self._words(t) for t in texts] if by_library else [self._words(t) for t in texts]
+        by_library = [i for i, t in enumerate(texts) if any(s in t for s in self.special) or not t.isascii() and self.unknown.search(t)]
+        lists = [self._words(t) for t in texts]
+        for i in by_library:
+            lists[i] = []
         ids, counts = self.cache.ids([w for x in lists for w in x])
         behind = np.concatenate([[0], np.cumsum(counts)])
         ends = behind[np.cumsum([len(x) for x in lists])] if lists else []
@@ -141,8 +153,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         to = -1
         here = counts[s:capacity]
         if here.any():
-            change = counts[: capacity - s] - here  # half the change of the sum, less one
-            change[0] = -counts[s] - (counts[s] > 0)  # a bin that becomes full leaves the sum
+            change = 2 * (counts[: capacity - s] - here)  # the change of the sum, less two
+            change[0] = -2 * counts[s] - 1  # a bin that becomes full leaves the sum
             change = np.where(here > 0, change, np.iinfo(np.int64).max)
             to = int(change.argmin())
         if to < 0:
@@ -168,7 +180,8 @@ def pack(pieces_: DataFrame, n_docs: int, capacity: int = CAPACITY, shard_docs:
         bins, offsets = sum_of_squares(frame["length"].to_numpy(), capacity)
         return frame.assign(sequence_id=frame["shard"].astype("int64") * 2**32 + bins, offset=offsets).drop(columns="shard")
 
-    dealt = pieces_.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id), {shards}) as int)"))
+    # rows are dealt by their place, not by a key, so that no id and no text fills a shard
+    dealt = pieces_.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, monotonically_increasing_id()), {shards}) as int)"))
     return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -218,6 +219,46 @@ def test_special_tokens_go_to_the_library():
     assert [list(x) for x in packing.word_bpe(path).encode(texts)] == [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_code_point_as_the_library():
+    """Each assigned or unassigned code point behind a letter, before a digit, alone and doubled in capitals."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.word_bpe(path)
+    for low in range(1, 0x110000, 4096):
+        texts = [f"a{c}1 {c} B{c}{c} {c}b" for c in map(chr, range(low, min(low + 4096, 0x110000))) if not 0xD800 <= ord(c) < 0xE000]
+        want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        for text, a, b in zip(texts, own.encode(texts), want):
+            assert list(a) == b, hex(ord(text[1]))
+
+
+def test_sum_of_squares_by_trying_every_bin():
+    rng = np.random.default_rng(9)
+    for capacity in (7, 12, 40):
+        lengths = rng.integers(1, capacity + 1, 150)
+        gaps: list[int] = []  # of each bin
+        squares = lambda g: sum(g.count(x) ** 2 for x in set(g) if x)
+        bins, offsets = packing.sum_of_squares(lengths, capacity)
+        for i in np.argsort(-lengths, kind="stable"):
+            size = int(lengths[i])
+            fits = sorted({g for g in gaps if g >= size})
+            trial = lambda g: squares([*gaps[: gaps.index(g)], g - size, *gaps[gaps.index(g) + 1 :]])
+            if fits:
+                best = min(fits, key=lambda g: (trial(g), g))
+                assert gaps[bins[i]] == best and offsets[i] == capacity - best
+                gaps[bins[i]] -= size
+            else:
+                assert bins[i] == len(gaps) and offsets[i] == 0
+                gaps.append(capacity - size)
+
+
+def test_packing_deals_equal_rows_to_all_shards(spark):
+    frame = spark.createDataFrame([(None, "same text")] * 400 + [(3, "other text")] * 400, "doc_id long, text string")
+    got = packing.pack_documents(frame, public_tokenizers.path("word_bpe_49k.json"), shard_docs=100).collect()
+    shards = Counter((r.doc_id, r.sequence_id >> 32) for r in got)
+    assert len(got) == 800 and len(shards) == 16 and max(shards.values()) < 100
+
+
 def test_sum_of_squares_is_near_the_bound():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 2049, 3000)
@@ -324,6 +365,58 @@ def test_html_end_tags_left_out():
     assert text("<head><title>T</title><p>One") == ["One"]
 
 
+def test_html_is_linear_in_the_page():
+    """Pages that look like tags without end; a quadratic reader needs minutes."""
+    whole = "<p>A long text that goes on for quite a while, with words, and then for another while.</p>"
+    for part in ('<div class="', "<a '", "<a \"> \" ", "<svg>", "<a ", "<p", "<!-", "<div class=ad>", "</p>", "&amp", "<b>x"):
+        start = time.perf_counter()
+        html.main_text(whole + part * (1_000_000 // len(part)))
+        assert time.perf_counter() - start < 4, part
+    assert html.main_text("<p title='one>two</p><p>a < b</p>") == "two\na < b"
+    assert html.main_text("1 < 2 <3 and <b>x</b> <") == "1 < 2 <3 and x <"
+    assert html.main_text("a<!-- <p>b</p> -->c<!-- d") == "ac"
+
+
+def test_html_header_of_an_article():
+    assert html.main_text("<header>Site</header><article><header><h1>Head</h1></header><p>Text of it.</p><footer>Tags</footer></article>") == "Head\nText of it."
+
+
+def test_html_against_planted_articles():
+    """Pages from parts, of which the article's are known: words found and words that belong."""
+    rng = np.random.default_rng(12)
+    number = iter(range(1 << 30))
+    words = lambda n: " ".join(f"w{next(number)}" for _ in range(n))
+    links = lambda n: "".join(f"<li><a href=/x>{words(2)}</a></li>" for _ in range(n))
+    noise = {
+        "menu": lambda: f"<nav><ul>{links(6)}</ul></nav>",
+        "bar": lambda: f"<ul>{links(8)}</ul>",
+        "ad": lambda: f"<div class='ad-slot'>{words(12)}</div>",
+        "cookies": lambda: f"<div id=cookie-notice><p>{words(20)}</p></div>",
+        "related": lambda: f"<ul class=related>{links(5)}</ul>",
+        "form": lambda: f"<form><label>{words(2)}</label><input></form>",
+        "script": lambda: f"<script>var x = '<p>{words(40)}</p>';</script>",
+    }
+    found = wanted = right = 0
+    for k in range(120):
+        tag = ("article", "main", "div", "section")[k % 4]
+        body: list[str] = []
+        title = words(6)
+        own = [title]
+        for i in range(int(rng.integers(5, 12))):
+            own.append(words(int(rng.integers(25, 90))))
+            body.append(f"<p>{own[-1]}</p>")
+            if rng.random() < 0.2:
+                body.append(noise[rng.choice(["ad", "related", "script"])]())
+        page = "<html><head><title>x</title></head><body>" + noise["menu"]() + noise[rng.choice(["bar", "cookies", "form"])]() + f"<{tag}><h1>{title}</h1>{''.join(body)}</{tag}>"
+        page += noise["bar"]() + f"<div class=comments><p>{words(40)}</p></div>" + f"<footer><p>{words(15)}</p></footer></body></html>"
+        got = html.main_text(page).split("\n")
+        assert [x for x in got if x in own] == own, page
+        found += sum(len(x.split()) for x in got)
+        wanted += sum(len(x.split()) for x in own)
+        right += sum(len(x.split()) for x in got if x in own)
+    assert right / wanted == 1.0 and right / found >= 0.98
+
+
 def test_html_table(spark):
     rows = [(0, "u", "<article><p>a</p></article>"), (0, "u", "<article><p>a</p></article>"), (1, None, None), (None, "v", "")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(3))).collect()
