@@ -1,7 +1,7 @@
 """Personal data in texts, with DataFrame functions alone.
 
-Regular expressions propose spans, checksums (Luhn, mod 97) and ranges confirm them, words before a span adjust its
-score. The patterns are possessive and anchored so that they find the leftmost, longest matches of the plain patterns
+Regular expressions propose spans, checksums (Luhn, mod 97) and ranges confirm them, words on both sides of a span raise
+or lower its score. The patterns are possessive and anchored so that they find the leftmost, longest matches of the plain patterns
 in time linear in the text, without deep recursion in the JVM.
 """
 
@@ -20,10 +20,17 @@ PATTERNS: dict[str, tuple[str, str]] = {
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
     "iban": ("[A-Z][0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3}+)?(?![A-Za-z0-9])"),
     "ssn": ("[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "mac": ("[0-9A-Fa-f]:[0-9A-Fa-f]", r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])"),
+    # values of keys, and tokens that name their maker
+    "secret": (
+        "(?i:key|secret|token|passw)|AKIA|gh[pousr]_",
+        # long runs behind a space, sign or quote first, then what stands before them
+        r"(?<=[ :=\"'])(?=[A-Za-z0-9+/_-]{16})(?i:(?<=(?:key|secret|token|passwd|password)[\"']?[ ]{0,3}[:=][ ]{0,3}[\"']?))[A-Za-z0-9+/_-]++|(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9_])",
+    ),
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Score of a confirmed span before its context; added spans need THRESHOLD, base spans stay in any case.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "mac": 0.5, "secret": 0.8}
 CONTEXT = {
     "email": "e-?mail|contact|correo|kontakt|courriel|write|address",
     "ip": "ip|address|host|server|login",
@@ -31,6 +38,19 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax|telefon|t[eé]l[eé]phone|tel[eé]fono",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social|security|insurance",
+    "mac": "mac|device|network|interface|hardware",
+    "secret": "secret|private|credential|credentials|auth",
+}
+#: Words that speak against a kind.
+AGAINST = {
+    "email": "example|noreply",
+    "ip": "version|release|build|section|chapter",
+    "card": "order|tracking|isbn|invoice|serial",
+    "phone": "order|isbn|invoice|serial|article",
+    "iban": "sample",
+    "ssn": "order|part|model|serial|invoice",
+    "mac": "ratio|time",
+    "secret": "commit|checksum|sha1|sha256|md5",
 }
 CONTEXT_GAIN, CONTEXT_CHARS, THRESHOLD = 0.3, 40, 0.5
 _BLOCK = 256
@@ -88,20 +108,35 @@ def _sums(values: Column) -> Column:
 
 
 def _proposals(kind: str) -> Column:
-    """Array of (start, end, match) of all matches of a kind in column text; null where the text has none."""
-    condition, pattern = PATTERNS[kind]
+    """Array of (start, end, match, near) of all matches of a kind in column text; null where the text has none.
+
+    near is the text on both sides, as far as CONTEXT_CHARS and not beyond the second match beside it.
+    """
+    _, pattern = PATTERNS[kind]
     matches = F.col(f"_{kind}")
-    gaps = F.slice(F.split("text", pattern, -1), 1, F.size(matches))
+    parts = F.split("text", pattern, -1)
+    gaps = F.slice(parts, F.lit(1), F.size(matches))
+    behind = F.slice(parts, F.lit(2), F.size(matches))
     steps = F.zip_with(gaps, matches, lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
-    spans = F.zip_with(_sums(steps), F.arrays_zip(gaps.alias("g"), matches.alias("m")), lambda s, x: F.struct((s + F.length(x["g"])).alias("start"), (s + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("match"), F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("before")))
+    most = F.lit(CONTEXT_CHARS)
+    joined = F.zip_with(gaps, matches, lambda g, m: F.right(F.concat(F.right(g, most), F.right(m, most)), most))
+    before = F.zip_with(F.concat(F.array(F.lit("")), F.slice(joined, F.lit(1), F.size(matches) - 1)), gaps, lambda m, g: F.right(F.concat(F.right(m, most), F.right(g, most)), most))
+    after = F.zip_with(behind, F.concat(F.slice(matches, F.lit(2), F.size(matches)), F.array(F.lit(""))), lambda g, m: F.left(F.concat(F.left(g, most), F.left(m, most)), most))
+    near = F.zip_with(before, after, lambda x, y: F.lower(F.concat(x, F.lit("|"), y)))
+    spans = F.zip_with(
+        F.zip_with(_sums(steps), gaps, lambda s, g: s + F.length(g)),
+        F.arrays_zip(matches.alias("m"), near.alias("n")),
+        lambda s, x: F.struct(s.alias("start"), (s + F.length(x["m"])).alias("end"), x["m"].alias("match"), x["n"].alias("near")),
+    )
     return F.when(F.size(matches) > 0, spans)
 
 
 def _scored(kind: str) -> Column:
-    near = lambda s: F.lower(s["before"]).rlike(rf"(?<![a-z])({CONTEXT[kind]})(?![a-z])")
+    says = lambda s, words: F.when(s["near"].rlike(rf"(?<![a-z])({words[kind]})(?![a-z])"), CONTEXT_GAIN).otherwise(0.0)
+    score = lambda s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(SCORES[kind]) + says(s, CONTEXT) - says(s, AGAINST)))
     found = F.transform(
         F.filter(F.col(f"_{kind}_spans"), lambda s: _confirmed(kind, s["match"])),
-        lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near(s), CONTEXT_GAIN).otherwise(0.0)), 2).alias("score")),
+        lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(score(s), 2).alias("score")),
     )
     if kind not in BASE_KINDS:
         found = F.filter(found, lambda s: s["score"] >= THRESHOLD)
