@@ -17,14 +17,12 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import saved
 
-SHARD_ROWS = 16384
+SHARD_ROWS = 8192
 #: Components of all vectors of a shard; wider vectors make smaller shards.
 SHARD_VALUES = 1 << 24
-#: Shards of small tables, of LEAST_ROWS vectors at least, so that more than one task works.
-LEAST_SHARDS, LEAST_ROWS = 8, 1024
 BLOCK_QUERIES = 8192
-DEGREE = 32
-BUILD_BEAM = 48
+DEGREE = 24
+BUILD_BEAM = 40
 SEARCH_BEAM = 128
 RELAX = 1.2
 _AT_ONCE = 3  # nodes of a beam that are expanded in one step
@@ -178,7 +176,7 @@ def valid_vectors(frame: DataFrame, id_column: str = "vec_id", vector_column: st
 
 def shards_for(total: int, dim: int, shard_rows: int = SHARD_ROWS) -> int:
     rows = max(1, min(shard_rows, SHARD_VALUES // max(dim, 1)))
-    return max(1, -(-total // rows), min(LEAST_SHARDS, -(-total // LEAST_ROWS)))
+    return max(1, -(-total // rows))
 
 
 def build_index(vectors: DataFrame, shards: int) -> DataFrame:
