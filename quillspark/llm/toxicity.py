@@ -212,14 +212,16 @@ def held_out() -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, text, toxic, fold: `rows` labelled rows at most that are not held out."""
+    """doc_id, text, toxic, fold: `rows` labelled documents at most that are not held out; of rows that repeat an id the last text in order counts."""
     known = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     total = known.count()
     share = min(1.0, rows / max(total, 1))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    picked = known.where(draw < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 62))
+    # a little more than the share, so that the limit, not the draw, makes the number
+    picked = known.where(draw < min(1 << 62, int(1.1 * share * (1 << 62)) + 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id").limit(rows)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(picked), "doc_id")  # `rows` rows of two numbers
+    texts = texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     return texts.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
 
 
