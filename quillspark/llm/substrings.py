@@ -207,12 +207,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     shards = max(1, -(-docs.count() // shard_docs))
     anchors = texts.mapInArrow(_anchors(window, gram), "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    # written, so that a hot anchor can be split when it is joined
+    shared = saved(shared, "substring-shared")
     per_doc = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     listed = texts.withColumn("text_hash", F.xxhash64("text")).join(per_doc, "doc_id").select("doc_id", "text", "text_hash", "anchors")
     segments = saved(listed.mapInArrow(_candidates(window, gram), _FIELDS), "substring-segments")
     distinct = segments.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("words").alias("words"))
     distinct = saved(distinct, "substring-distinct")
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor")
+    crowded = saved(crowded, "substring-crowded")
     few = distinct.join(crowded, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = few.select("shard", "h1", "h2", "first", "words").groupBy("shard").applyInPandas(_shard(window), "h1 long, h2 long, firsts array<long>")
     many = distinct.join(crowded, "anchor", "left_semi").select("h1", "h2", "first", "words").mapInArrow(_windows(window), "h1 long, h2 long, place int, w1 long, w2 long, first long")
