@@ -20,18 +20,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that documents share stay in the one with the smallest id; all rows stay, null texts and null ids as they are."""
     return lines.drop_repeated_lines(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by word shingles the smallest id stays; those without words, with null texts or null ids all stay."""
     return near_duplicates.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by their kind in brackets; all rows stay, null texts stay null."""
     return pii.mask(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document with its place in a sequence; null and empty texts are one piece of the end id."""
     return packing.pack_documents(docs, public_tokenizers.path(WORD_VOCABULARY))
 
 
