@@ -36,7 +36,7 @@ def keep_runs(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     The last run is open. Two rows of the same doc_id are one document; text_hash tells them apart.
     """
     texts = _texts(docs).where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
-    lines = texts.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = texts.select("doc_id", "text_hash", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))  # outer: else Spark splits twice
     keys = lines.select("doc_id", "text_hash", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
     hashes = F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2")
     hashed = saved(keys.select("doc_id", "text_hash", "at", *hashes, F.pmod("doc_id", F.lit(SALTS)).alias("salt")), "line-hashes")
