@@ -31,6 +31,11 @@ NOISE = {
 }
 
 
+def unicode_classes(pattern: str) -> str:
+    """A pattern whose digits, white space and word ends are Unicode's, as they are in the rules; Java's are ASCII."""
+    return "(?U)" + pattern.replace(r"\s", SPACE).replace(r"\S", "[^" + SPACE[1:]).replace(r"\d", r"\p{Nd}")
+
+
 @pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
@@ -48,7 +53,7 @@ def collapse(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Entities, tags, addresses, NFC, apostrophes, quotes, white space, in this order."""
     c = F.regexp_replace(unescape(c), "<[^>]+>", " ")
-    c = nfc(F.regexp_replace(c, r"(?U)https?://\S+|www\.\S+", " "))
+    c = nfc(F.regexp_replace(c, unicode_classes(r"https?://\S+|www\.\S+"), " "))
     return collapse(F.translate(c, "’‘`´«»“”", "''''\"\"\"\""))
 
 
@@ -57,7 +62,7 @@ def prepare_for_tokens(c: Column) -> Column:
     for a, b in (("œ", "oe"), ("Œ", "Oe"), ("æ", "ae"), ("Æ", "Ae")):
         c = F.replace(c, F.lit(a), F.lit(b))
     c = F.regexp_replace(c, rf"([{LETTERS}])\1{{2,}}", "$1$1")
-    return collapse(F.regexp_replace(c, r"(?U)\b\d{1,2}\s?/\s?\d{1,2}\b", " "))
+    return collapse(F.regexp_replace(c, unicode_classes(NOISE["note_chiffree"]), " "))
 
 
 def tokens(c: Column, least: int = 2) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import EXTRA_STOPWORDS, SENTIMENT_WORDS, Config
-from quillspark.functions.text import NOISE, clean_text, keep_tokens, match_context, prepare_for_tokens, tokens, word_count
+from quillspark.functions.text import NOISE, clean_text, keep_tokens, match_context, prepare_for_tokens, tokens, unicode_classes, word_count
 
 Lemmatizer = Callable[[Column], Column]
 
@@ -39,8 +39,11 @@ def min_tokens(corpus: DataFrame, least: int) -> DataFrame:
 
 
 def terms(frame: DataFrame, column: str, keys: list[str], distinct: bool = False) -> DataFrame:
-    """A row per term; distinct: once a document, taken inside the array so that repeats never travel."""
-    return frame.select(*keys, F.explode(F.array_distinct(column) if distinct else F.col(column)).alias("term"))
+    """A row per term; distinct: once a document, taken inside the array so that repeats never travel.
+
+    A plain explode would make Spark test the array's size before it, at the scan, and so compute all of it once more.
+    """
+    return frame.select(*keys, F.explode_outer(F.array_distinct(column) if distinct else F.col(column)).alias("term")).where("term is not null")
 
 
 def dictionary(frame: DataFrame, column: str, no_below: int, no_above: float) -> DataFrame:
@@ -78,7 +81,7 @@ def term_share_gap(frame: DataFrame, column: str, k: int = 20) -> DataFrame:
 
 def noise_profile(frame: DataFrame, column: str) -> DataFrame:
     """motif, n, part of each kind of noise, from one pass over the texts."""
-    found = frame.select(*(F.col(column).rlike(p).cast("long").alias(k) for k, p in NOISE.items()))
+    found = frame.select(*(F.col(column).rlike(unicode_classes(p)).cast("long").alias(k) for k, p in NOISE.items()))
     sums = found.agg(F.count(F.lit(1)).alias("_total"), *(F.sum(k).alias(k) for k in NOISE))
     return sums.unpivot("_total", list(NOISE), "motif", "n").select("motif", "n", (F.col("n") / F.col("_total")).alias("part")).orderBy(F.desc("part"), "motif")
 
@@ -126,7 +129,7 @@ def name_runs(c: Column) -> Column:
 
 def entity_frequency(frame: DataFrame, column: str, k: int = 30, extract: Callable[[Column], Column] = name_runs) -> DataFrame:
     """The k most frequent entities, with the number of mentions."""
-    return frame.select(F.explode(extract(F.col(column))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(k)
+    return frame.select(F.explode_outer(extract(F.col(column))).alias("entity")).where("entity is not null").groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(k)
 
 
 def without_entities(tokens_: Column, text: Column, extract: Callable[[Column], Column] = name_runs) -> Column:

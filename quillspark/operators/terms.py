@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.corpus import terms
+from quillspark.sources.io import small
 
 
 def class_counts(frame: DataFrame, column: str, keys: list[str], min_df: int = 1) -> DataFrame:
@@ -24,11 +25,11 @@ def class_counts(frame: DataFrame, column: str, keys: list[str], min_df: int = 1
 def ctfidf(frame: DataFrame, column: str, keys: list[str], min_df: int = 1, reduce_frequent: bool = True) -> DataFrame:
     """keys, term, tf, score: sqrt(tf / class total) * ln(1 + A / term total), A the whole part of the mean class total."""
     counts = class_counts(frame, column, keys, min_df)
-    totals = counts.groupBy(*keys).agg(F.sum("tf").alias("class_total"))
-    mean = totals.agg(F.floor(F.avg("class_total")).alias("a"))
-    term_totals = counts.groupBy("term").agg(F.sum("tf").alias("term_total"))
-    # a row per class and one row; the classes are topics
-    joined = counts.join(term_totals, "term").join(totals, keys).crossJoin(F.broadcast(mean))
+    # without a limit on classes the totals need no row per term
+    totals = frame.groupBy(*keys).agg(F.sum(F.greatest(F.size(column), F.lit(0))).alias("class_total")).where("class_total > 0") if min_df <= 1 else counts.groupBy(*keys).agg(F.sum("tf").alias("class_total"))
+    totals = small(totals.withColumn("a", F.floor(F.avg("class_total").over(Window.partitionBy()))))  # a row per class
+    # a term has a row per class at most
+    joined = counts.withColumn("term_total", F.sum("tf").over(Window.partitionBy("term"))).join(totals, keys)
     share = F.col("tf") / F.col("class_total")
     weight = F.sqrt(share) if reduce_frequent else share
     return joined.select(*keys, "term", "tf", (weight * F.log1p(F.col("a") / F.col("term_total"))).alias("score"))

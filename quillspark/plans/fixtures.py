@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import ngrams, ngrams_interleaved, tokens
-from quillspark.sources.io import table
+from quillspark.sources.io import spread, table
 
 #: Appended to texts so that each preparation rule has something to do.
 TRIGGER = " géniaaaal ŒUVRE cœur 8/10 12 / 20 aaa"
@@ -28,7 +28,7 @@ def with_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 def classes(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, review, label, topic: sources as topics."""
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    docs, labels = spread(table(spark, d, "documents")), table(spark, d, "labels")
     return docs.select("doc_id", F.col("text").alias("review"), F.col("source").alias("topic")).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
 
 
@@ -44,7 +44,8 @@ def one_sided(spark: SparkSession, d: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, d: str) -> DataFrame:
     """classes() with tokens, grams (deduped uni- and bigrams) and stream (interleaved)."""
-    t = classes(spark, d).withColumn("tokens", tokens(F.col("review"))).where(F.size("tokens") > 0)
+    # a text with a token; a filter on the tokens would make them twice
+    t = classes(spark, d).where(F.lower("review").rlike(r"(?U)\p{L}{2}")).withColumn("tokens", tokens(F.col("review")))
     return t.withColumn("grams", ngrams(F.col("tokens"), True)).withColumn("stream", ngrams_interleaved(F.col("tokens")))
 
 

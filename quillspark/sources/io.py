@@ -12,19 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows up to which a table of topics is sent to every task.
-SMALL_ROWS = 10_000
+#: Size up to which a table of topics is sent to every task.
+SMALL_ROWS, SMALL_BYTES = 10_000, 32 << 20
 
 
-def small(frame: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A broadcast hint if the table has at most `rows` rows, counted; else the table as it is, for a shuffled join."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+def small(frame: DataFrame, rows: int = SMALL_ROWS, most: int = SMALL_BYTES) -> DataFrame:
+    """The table, computed once and sent to every task, if it has at most `rows` rows and `most` bytes; else as it is, for a shuffled join."""
+    found = frame.limit(rows + 1).toArrow()
+    if found.num_rows > rows or found.nbytes > most:
+        return frame
+    return F.broadcast(frame.sparkSession.createDataFrame(found, frame.schema))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The table over all cores if its files make fewer parts than there are; filters and columns still reach the scan."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def load_reviews(frame: DataFrame, text: str = "review", label: str = "label", key: str = "doc_id", n: int | None = None, seed: int = 42) -> DataFrame:
     """doc_id, review, label; with n exactly n rows (or all, if fewer)."""
     out = frame.select(F.col(key).alias("doc_id"), F.col(text).alias("review"), F.col(label).alias("label"))

@@ -3,15 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillspark.functions.vectors import as_doubles, dot, normalise
-from quillspark.sources.io import small
+from quillspark.operators.topics import nearest_topics
 
 
 def predict_stream(vectors: DataFrame, centres: DataFrame, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """key, topic, similarity per row of the stream; the centroids are folded into one array, so no aggregation keeps state."""
-    table = centres.where("topic <> -1").agg(F.array_sort(F.collect_list(F.struct("topic", "centroid"))).alias("_all"))
-    met = vectors.select(key, normalise(as_doubles(F.col(vector))).alias("_v")).crossJoin(small(table))  # one row of topics
-    best = F.array_max(F.transform("_all", lambda c: F.struct(F.round(dot(F.col("_v"), c["centroid"]), 8).alias("similarity"), (-c["topic"]).alias("back"))))
-    return met.select(key, best.alias("_b")).select(key, (-F.col("_b.back")).alias("topic"), F.col("_b.similarity").alias("similarity"))
+    """key, topic, similarity per row of the stream; the centroids are one row, so no aggregation keeps state."""
+    return nearest_topics(vectors, centres, 1, key, vector).select(key, "topic", "similarity")
