@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
+import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.config import Config, load_config
 from quillspark.functions.text import ngrams, ngrams_interleaved
-from quillspark.operators import artifacts, corpus, evaluate, labeling, lda, sentiment, terms, topics
+from quillspark.operators import artifacts, corpus, evaluate, labeling, lda, predict, sentiment, terms, topics
 from quillspark.sources import io
 
 
@@ -28,6 +30,9 @@ def build_parser() -> argparse.ArgumentParser:
     parser.add_argument("--representation", choices=["ctfidf", "mmr"])
     parser.add_argument("--k", type=int, nargs="*", help="topic numbers of the LDA grid")
     parser.add_argument("--force", action="store_true"), parser.add_argument("--agreement", action="store_true")
+    parser.add_argument("--inject", help="CSV of topic, label, description, kind that replaces labels, for label")
+    parser.add_argument("--text", nargs="*", help="texts, for predict")
+    parser.add_argument("--target", help="folder of the published copy, for publish"), parser.add_argument("--dry-run", action="store_true")
     return parser
 
 
@@ -40,18 +45,21 @@ class Run:
     """Where the tables of a run lie."""
 
     def __init__(self, spark: SparkSession, args: argparse.Namespace):
-        self.spark, self.args, self.config, self.root = spark, args, settings(args), Path(args.root)
+        self.spark, self.args, self.config, self.root = spark, args, settings(args), args.root.rstrip("/")
         self.tag = args.tag or self.config.run_tag()
 
     def path(self, name: str, tagged: bool = True) -> str:
-        return str(self.root / (f"{name}_{self.tag}" if tagged else name))
+        return f"{self.root}/{name}_{self.tag}" if tagged else f"{self.root}/{name}"
 
     def read(self, name: str, tagged: bool = True) -> DataFrame:
         path = self.path(name, tagged)
-        if not Path(path).exists():
+        if not self.has(name, tagged):
             raise FileNotFoundError(f"{path} is missing: run the stage that writes it")
         return self.spark.read.parquet(path)
 
+    def has(self, name: str, tagged: bool = True) -> bool:
+        return io.exists(self.spark, self.path(name, tagged))
+
     def save(self, frame: DataFrame, name: str, tagged: bool = True) -> None:
         io.write_parquet(frame, self.path(name, tagged))
 
@@ -66,30 +74,42 @@ def preprocess(run: Run) -> None:
     run.save(corpus.build_corpus(run.read("raw", False), run.config), "corpus", False)
 
 
+def embedder(config: Config) -> topics.Embedder:
+    """The embedder that the settings name; EMBEDDERS is open for others."""
+    if config.embedding not in EMBEDDERS:
+        raise ValueError(f"no embedder {config.embedding}: known are {', '.join(sorted(EMBEDDERS))}")
+    return EMBEDDERS[config.embedding](config)
+
+
 def embed(run: Run) -> None:
     docs = run.read("corpus", False)
-    model = topics.HashingEmbedder(prefix=run.config.prefix, max_length=run.config.max_length)
+    model = embedder(run.config)
     io.load_or_compute(run.spark, run.path("embeddings"), model.settings(), docs.count(), lambda: model.encode(docs).select("doc_id", "embedding"))
 
 
 def train(run: Run) -> None:
-    c = run.config
+    c, start = run.config, time.perf_counter()
     docs, vectors = run.read("corpus", False), run.read("embeddings")
     raw = topics.cluster(topics.reduce_dimensions(vectors, k=c.components), c.clusters, c.seed, c.outlier_quantile)
     merged = topics.merge_topics(raw.withColumn("topic", F.col("topic_raw")), c.topics)
     final = topics.reduce_outliers(merged, c.max_outlier_ratio, c.outlier_threshold)
     run.save(final.select("doc_id", "topic_raw", "topic", "embedding"), "topics")
     grams = docs.select("doc_id", ngrams(F.col("tokens"), c.dedupe_tokens).alias("grams")).join(run.read("topics").select("doc_id", "topic"), "doc_id")
-    run.save(terms.topic_info(grams, "grams", c.top_words), "topic_info")
+    run.save(terms.topic_info(grams, "grams", c.top_words, c.min_df, c.reduce_frequent_words, c.representation, c.diversity), "topic_info")
     centres = topics.centroids(run.read("topics"))
     topics.check_centroids(run.read("topics"), centres)
     run.save(centres, "centroids")
+    run.save(topics.topic_map(run.read("centroids")), "topic_map")
+    run.save(topics.pair_distance(run.read("centroids")), "topic_distances")
     ratios = {f"outlier_ratio_{k}": f.first()["ratio"] for k, f in (("before", topics.outlier_ratio(run.read("topics"), "topic_raw")), ("after", topics.outlier_ratio(run.read("topics"))))}
-    io.write_document(run.path("run") + ".json", {"tag": run.tag, "n": c.sample_size, "topics": run.path("topics"), **ratios})
+    io.write_document(run.spark, run.path("run") + ".json", {"tag": run.tag, "n": c.sample_size, "topics": run.path("topics"), **ratios})
+    shown = {"embedding": c.embedding, "clusters": c.clusters, "target_topics": c.topics, "representation": c.representation, "reduce_frequent_words": c.reduce_frequent_words, "dedupe_tokens": c.dedupe_tokens}
+    row = {"tag": run.tag, "seq": time.time_ns(), "n_docs": docs.count(), "n_topics": centres.count(), "fit_seconds": time.perf_counter() - start, **ratios, **shown}
+    io.append_table(run.spark.createDataFrame([row], RUN_FIELDS), run.path("runs", False))
 
 
 def _labelled(run: Run) -> DataFrame:
-    io.read_document(run.path("run") + ".json")
+    io.read_document(run.spark, run.path("run") + ".json")
     return run.read("corpus", False).join(run.read("topics"), "doc_id")
 
 
@@ -117,45 +137,79 @@ def baseline(run: Run) -> None:
     streams, vocabulary = _streams(run)
     k_main = run.read("topic_info").where("topic <> -1").count()
     ks = run.args.k or evaluate.candidate_ks(k_main, c.k_grid)
-    grid, words = lda.grid_search(streams, vocabulary, ks, c.no_below, c.no_above, c.top_words, c.passes, c.seed)
-    old = Path(run.path("lda_grid", False))
-    run.save(grid if not old.exists() else run.spark.createDataFrame(io.upsert(run.read("lda_grid", False), grid, ["k"]).collect(), grid.schema), "lda_grid", False)
-    run.save(words, "lda_words", False)
+    run.save(vocabulary, "dictionary", False)
+    grid, words = lda.grid_search(streams, run.read("dictionary", False), ks, c.no_below, c.no_above, c.top_words, c.passes, c.seed, models=run.path("lda_models", False))
+    # beside the old tables first, which are still read
+    for name, new, keys in (("lda_grid", grid, ["k"]), ("lda_words", words, ["model"])):
+        io.replace_table(io.upsert(run.read(name, False), new, keys) if run.has(name, False) else new, run.path(name, False))
 
 
 def compare(run: Run) -> None:
+    """The topics, and of the LDA grid the model with as many topics and the one with the best NPMI."""
     c = run.config
     streams, vocabulary = _streams(run)
-    words = _topic_words(run).unionByName(run.read("lda_words", False))
+    runs = io.latest(run.read("runs", False)).where(F.col("tag") == run.tag)
+    k_main = run.read("topic_info").where("topic <> -1").count()
+    words, fits = evaluate.candidates(_topic_words(run), run.read("lda_words", False), run.read("lda_grid", False), k_main, runs.first()["fit_seconds"])
     run.save(evaluate.per_topic(streams, words, vocabulary, c.coherence_words, c.npmi_window, c.cv_window), "coherence_per_topic")
-    run.save(evaluate.summary(streams, words, vocabulary, c.coherence_words, c.diversity_words, c.npmi_window, c.cv_window), "comparison")
+    table = evaluate.summary(streams, words, vocabulary, c.coherence_words, c.diversity_words, c.npmi_window, c.cv_window)
+    run.save(evaluate.compare(table, fits, "topics", "embeddings not included"), "comparison")
 
 
 def label(run: Run) -> None:
     c = run.config
-    given = labeling.inputs(run.read("topic_info"), run.read("representative_reviews"), c.label_keywords, c.examples)
-    grid = Path(run.path("labels_validation"))
     if run.args.agreement:
         run.save(labeling.agreement(run.read("labels_validation"), c.agreement_threshold), "labels_agreement")
         return
-    labels = labeling.KeywordLabeler().label(given)
-    run.save(labels, "labels")
-    existing = run.read("labels_validation") if grid.exists() else None
-    made = labeling.validation_grid(given, labels, existing, run.args.force)
+    given = labeling.inputs(run.read("topic_info"), run.read("representative_reviews"), c.label_keywords, c.examples)
+    known = run.read("labels") if run.has("labels") and not run.args.force else None
+    if run.args.inject:
+        labels = labeling.inject(given, io.read_csv(run.spark, run.args.inject, labeling.LABEL_FIELDS), known)
+    else:
+        labels = labeling.resume(LABELERS[c.labeler](c), given, known)
+    io.replace_table(labels, run.path("labels"))
+    io.write_document(run.spark, run.path("labels") + ".json", {"tag": run.tag})
+    existing = run.read("labels_validation") if run.has("labels_validation") else None
+    made = labeling.validation_grid(given, run.read("labels"), existing, run.args.force)
     if made is not existing:
-        run.save(made, "labels_validation")
+        io.replace_table(made, run.path("labels_validation"))
+        io.write_csv(run.read("labels_validation"), run.path("labels_validation_csv"))  # for people to fill
 
 
 def export(run: Run) -> None:
     docs = _labelled(run)
+    artifacts.check_tag(io.read_document(run.spark, run.path("labels") + ".json"), run.tag)
     coherence = run.read("coherence_per_topic").where("model = 'topics'")
-    table = artifacts.topic_table(run.read("labels"), run.read("topic_info"), run.read("topic_sentiment"), coherence, topics.topic_map(run.read("centroids")))
-    summary = {"tag": run.tag, "n_docs": docs.count(), "n_topics": table.count(), "sentiment": run.read("sentiment_summary").first().asDict()}
-    out = str(run.root / "artifacts")
-    artifacts.export(out, {"topics": table, "centroids": run.read("centroids"), "reviews": artifacts.reviews_with_topic(docs.drop("topic"), run.read("topics")), "representative_reviews": run.read("representative_reviews")}, summary, artifacts.model_card(summary))
-
-
-STAGES = {"data": data, "preprocess": preprocess, "embed": embed, "train": train, "sentiment": analyse, "lda": baseline, "evaluate": compare, "label": label, "export": export}
+    table = artifacts.topic_table(run.read("labels"), run.read("topic_info"), run.read("topic_sentiment"), coherence, run.read("topic_map"))
+    last = io.latest(run.read("runs", False)).where(F.col("tag") == run.tag).first()
+    summary = {"tag": run.tag, "n_docs": docs.count(), "n_topics": table.count(), "sentiment": run.read("sentiment_summary").first().asDict(), "run": last.asDict()}
+    summary["comparison"] = [r.asDict() for r in run.read("comparison").collect()]  # a row per model
+    tables = {"topics": table, "centroids": run.read("centroids"), "topic_distances": run.read("topic_distances"), "reviews": artifacts.reviews_with_topic(docs.drop("topic"), run.read("topics")), "vectors": run.read("topics").select("doc_id", "topic", "embedding"), "representative_reviews": run.read("representative_reviews")}
+    artifacts.export(run.spark, f"{run.root}/artifacts", tables, summary, artifacts.model_card(summary))
+
+
+def publish(run: Run) -> None:
+    """Copies the exported tables to another folder of any store that Spark reaches; a dry run only lists them."""
+    for name in artifacts.publish(run.spark, f"{run.root}/artifacts", run.args.target or f"{run.root}/published", run.args.dry_run):
+        print(name)
+
+
+def predict_texts(run: Run) -> None:
+    """Nearest topics and documents of given texts, as JSON lines."""
+    spark, c = run.spark, run.config
+    texts = spark.createDataFrame(list(enumerate(run.args.text or [])), "doc_id long, review string")
+    start = time.perf_counter()
+    found = predict.predict_texts(texts, run.read("corpus", False), run.read("centroids"), run.read("topics"), embedder(c), c, labels=run.read("labels") if run.has("labels") else None)
+    for row in found.orderBy("doc_id").toJSON().collect():
+        print(row)
+    print(json.dumps({"seconds": round(time.perf_counter() - start, 3)}))
+
+
+RUN_FIELDS = "tag string, seq long, n_docs long, n_topics long, fit_seconds double, outlier_ratio_before double, outlier_ratio_after double, embedding string, clusters int, target_topics int, representation string, reduce_frequent_words boolean, dedupe_tokens boolean"
+#: By name in the settings; add to them for others.
+EMBEDDERS: dict[str, Callable[[Config], topics.Embedder]] = {"hashing": lambda c: topics.HashingEmbedder(prefix=c.prefix, max_length=c.max_length)}
+LABELERS: dict[str, Callable[[Config], labeling.Labeler]] = {"keywords": lambda c: labeling.KeywordLabeler()}
+STAGES = {"data": data, "preprocess": preprocess, "embed": embed, "train": train, "sentiment": analyse, "lda": baseline, "evaluate": compare, "label": label, "export": export, "publish": publish, "predict": predict_texts}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import french_decimal, french_int, word_count
-from quillspark.sources.io import now_utc, read_document, small, write_document, write_parquet
+from quillspark.sources.io import now_utc, read_document, small, write_document, write_parquet, write_text
 
 
 def check_tag(document: dict, tag: str) -> None:
@@ -44,19 +42,36 @@ def long_enough(texts: DataFrame, column: str, least: int = 5) -> DataFrame:
     return texts.where(word_count(F.col(column)) >= least)
 
 
-def export(path: str, tables: dict[str, DataFrame], summary: dict, card: str | None = None) -> None:
+def export(spark: SparkSession, path: str, tables: dict[str, DataFrame], summary: dict, card: str | None = None) -> None:
     """Writes every table anew, then the summary; parts that do not exist are simply not given."""
     for name, frame in tables.items():
         write_parquet(frame, f"{path}/{name}")
-    write_document(Path(path) / "summary.json", summary | {"generated_at": now_utc()})
+    write_document(spark, f"{path}/summary.json", summary | {"generated_at": now_utc(), "tables": sorted(tables)})
     if card:
-        (Path(path) / "CARD.md").write_text(card, encoding="utf-8")
+        write_text(spark, f"{path}/CARD.md", card)
+
+
+def load(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame | dict]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names} | {"summary": read_document(spark, f"{path}/summary.json")}
 
 
-def load(spark, path: str, names: list[str]) -> dict[str, DataFrame | dict]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names} | {"summary": read_document(Path(path) / "summary.json")}
+def publish(spark: SparkSession, path: str, target: str, dry_run: bool = False) -> list[str]:
+    """Copies the tables of an export and its summary; the names of what is copied. A dry run copies nothing."""
+    summary = read_document(spark, f"{path}/summary.json")
+    for name in summary["tables"] if not dry_run else ():
+        write_parquet(spark.read.parquet(f"{path}/{name}"), f"{target}/{name}")
+    if not dry_run:
+        write_document(spark, f"{target}/summary.json", summary)
+        write_text(spark, f"{target}/CARD.md", model_card(summary))
+    return [*summary["tables"], "summary.json", "CARD.md"]
 
 
 def model_card(summary: dict) -> str:
-    lines = ["# Topic model", "", f"Run `{summary.get('tag', '?')}` over {summary.get('n_docs', 0):,} texts, {summary.get('n_topics', 0)} topics.".replace(",", " ")]
-    return "\n".join(lines + [f"- {k}: {v}" for k, v in sorted(summary.get("sentiment", {}).items())]) + "\n"
+    count = f"{summary.get('n_docs', 0):,}".replace(",", " ")
+    lines = ["# Topic model", "", f"Run `{summary.get('tag', '?')}` over {count} texts, {summary.get('n_topics', 0)} topics.", "", "## Topics and labels", ""]
+    lines += [f"- {k}: {v}" for k, v in sorted(summary.get("sentiment", {}).items())]
+    lines += ["", "## Settings of the run", ""] + [f"- {k}: {v}" for k, v in sorted(summary.get("run", {}).items())]
+    lines += ["", "## Comparison", "", "| model | topics | NPMI | C_V | diversity | coverage | seconds | note |", "|---|---|---|---|---|---|---|---|"]
+    shown = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    lines += ["| " + " | ".join(shown(r.get(c)) for c in ("model", "n_topics", "npmi", "c_v", "diversity", "coverage", "fit_seconds", "note")) + " |" for r in summary.get("comparison", [])]
+    return "\n".join(lines) + "\n"

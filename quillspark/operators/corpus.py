@@ -30,6 +30,8 @@ def build_corpus(reviews: DataFrame, config: Config, lemma: Lemmatizer | None =
     stop = stopwords(reviews.sparkSession, config)
     cleaned = reviews.withColumn("text_clean", clean_text(F.col("review")))
     surface = F.filter(F.split(prepare_for_tokens(F.col("text_clean")), r"(?U)[^\p{L}]+"), lambda t: t != "")
+    if config.remove_persons:
+        surface = without_entities(surface, F.col("text_clean"))
     out = cleaned.withColumn("tokens", keep_tokens(surface, stop, lemma or (lambda t: F.lower(t))))
     return min_tokens(out, config.min_tokens)
 
@@ -135,4 +137,5 @@ def entity_frequency(frame: DataFrame, column: str, k: int = 30, extract: Callab
 def without_entities(tokens_: Column, text: Column, extract: Callable[[Column], Column] = name_runs) -> Column:
     """Tokens that are not part of an entity of the text."""
     words = F.flatten(F.transform(extract(text), lambda e: F.split(F.lower(e), " ")))
-    return F.filter(tokens_, lambda t: ~F.array_contains(words, F.lower(t)))
+    # bound to a name by an array of one, else it is computed for every token
+    return F.get(F.transform(F.array(words), lambda w: F.filter(tokens_, lambda t: ~F.array_contains(w, F.lower(t)))), F.lit(0))

@@ -144,5 +144,14 @@ def best_k(grid: DataFrame) -> DataFrame:
     return grid.agg(F.max_by("k", F.struct("npmi", -F.col("k"))).alias("k"))
 
 
+def candidates(main: DataFrame, words: DataFrame, grid: DataFrame, k_main: int, main_seconds: float | None = None, name: str = "topics") -> tuple[DataFrame, DataFrame]:
+    """(ranked words, seconds) of the models to compare: the main one, of the grid that with as many topics and that with the best NPMI."""
+    best = best_k(grid).select(F.lit(False).alias("same"), "k")
+    chosen = best.unionByName(grid.where(F.col("k") == k_main).select(F.lit(True).alias("same"), "k")).groupBy("k").agg(F.bool_or("same").alias("same"))
+    named = small(grid.join(chosen, "k").select(F.format_string("LDA (K=%d)", "k").alias("model"), "fit_seconds"))  # two rows at most
+    fits = named.unionByName(grid.sparkSession.createDataFrame([(name, main_seconds)], "model string, fit_seconds double"))
+    return main.unionByName(words.join(named.select("model"), "model", "left_semi").select(*main.columns)), fits
+
+
 def candidate_ks(k_main: int, grid: tuple[int, ...]) -> list[int]:
     return sorted({k_main, *grid})

@@ -12,7 +12,10 @@ from quillspark.operators.sentiment import diversified_examples
 from quillspark.sources.io import small
 
 KINDS = ("sujet", "ton")
+#: What people write in the grid, and the names of the two methods: fixed values.
 APPROVED = "validé tel quel"
+METHODS = ("approbation", "étiquetage humain indépendant")
+LABEL_FIELDS = "topic int, label string, description string, kind string"
 #: What is asked of a labeller for one topic.
 PROMPT = "Mots-clés du thème :\n{keywords}\n\nTextes représentatifs :\n{reviews}\n\nRépondre en JSON avec label (2 à 4 mots), description (une phrase) et kind (sujet ou ton)."
 
@@ -58,10 +61,41 @@ def missing(topics: DataFrame, labels: DataFrame) -> DataFrame:
     return topics.where("topic <> -1").select("topic").distinct().join(labels.select("topic"), "topic", "left_anti").orderBy("topic")
 
 
-def resume(labeler: Labeler, inputs_: DataFrame, existing: DataFrame) -> DataFrame:
-    """Existing labels, and new ones for the topics without."""
-    todo = inputs_.join(existing.select("topic"), "topic", "left_anti")
-    return existing.unionByName(labeler.label(todo).select(*existing.columns))
+def ask(labeler: Labeler, inputs_: DataFrame, tries: int = 3) -> DataFrame:
+    """topic, label, description, kind, keywords, valid, error: invalid answers are asked for again, with what was wrong in column error.
+
+    Topics are few. What is still invalid after the last try stays, marked.
+    """
+    todo, kept = inputs_.withColumn("error", F.lit(None).cast("string")), None
+    for turn in range(tries):
+        answers = small(validate(labeler.label(todo)).select("topic", "label", "description", "kind", "keywords", "valid", "error"))
+        good = answers if turn == tries - 1 else answers.where("valid")
+        kept = good if kept is None else kept.unionByName(good)
+        bad = small(answers.where("not valid").select("topic", "error"))
+        if turn == tries - 1 or bad.isEmpty():
+            break
+        todo = inputs_.join(bad, "topic")
+    return kept
+
+
+def resume(labeler: Labeler, inputs_: DataFrame, existing: DataFrame | None, tries: int = 3) -> DataFrame:
+    """Existing valid labels, and new ones for the topics without."""
+    if existing is None:
+        return ask(labeler, inputs_, tries)
+    known = existing if "valid" in existing.columns else validate(existing).drop("n_words")
+    done = known.where("valid").join(inputs_.select("topic"), "topic", "left_semi")
+    todo = inputs_.join(done.select("topic"), "topic", "left_anti")
+    return done if todo.isEmpty() else done.unionByName(ask(labeler, todo, tries).select(*done.columns))
+
+
+def inject(inputs_: DataFrame, given: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Labels given by people, validated, in place of existing ones; a topic that is not there or an invalid label raises."""
+    checked = validate(given.select("topic", "label", "description", "kind")).join(inputs_.select("topic", "keywords"), "topic", "left")
+    wrong = checked.where("not valid or keywords is null").select("topic", F.coalesce("error", F.lit("topic"))).collect()  # few
+    if wrong:
+        raise ValueError(f"labels that cannot be used: {[tuple(r) for r in wrong]}")
+    own = checked.select("topic", "label", "description", "kind", "keywords", "valid", "error")
+    return own if existing is None else own.unionByName(existing.join(own.select("topic"), "topic", "left_anti").select(*own.columns))
 
 
 def validation_grid(inputs_: DataFrame, labels: DataFrame, existing: DataFrame | None = None, force: bool = False) -> DataFrame:
@@ -82,7 +116,7 @@ def agreement(grid: DataFrame, threshold: float = 0.70) -> DataFrame:
         F.count(F.lit(1)).alias("n_topics"), F.count_if(scored).alias("n_scored"), F.avg("match").alias("agreement"),
         F.avg(F.when(scored, (F.col("match") == 1).cast("double"))).alias("exact_share"), F.bool_and(F.when(scored, approved)).alias("all_approved"),
     )
-    method = F.when(F.col("all_approved"), "approbation").otherwise("étiquetage humain indépendant")
+    method = F.when(F.col("all_approved"), METHODS[0]).otherwise(METHODS[1])
     return out.select("n_topics", "n_scored", "agreement", "exact_share", method.alias("method"), (F.col("agreement") >= threshold).alias("passed"))
 
 

@@ -48,8 +48,16 @@ def topic_words(model: LDAModel, vocabulary: Sequence[str], topn: int, name: str
     return described.sparkSession.createDataFrame(words, "model string, topic int, rank int, word string")
 
 
-def grid_search(streams: DataFrame, vocabulary: DataFrame, ks: list[int], no_below: int, no_above: float, topn: int = 25, passes: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(grid with metrics and seconds, words of all models): counts are made once and cached for all k."""
+def load(path: str, k: int) -> tuple[LDAModel, CountVectorizerModel]:
+    """A model of grid_search() and its vocabulary."""
+    return LocalLDAModel.load(f"{path}/lda_{k}"), CountVectorizerModel.load(f"{path}/vocabulary")
+
+
+def grid_search(streams: DataFrame, vocabulary: DataFrame, ks: list[int], no_below: int, no_above: float, topn: int = 25, passes: int = 10, seed: int = 42, models: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(grid with metrics and seconds, words of all models): counts are made once and cached for all k.
+
+    With a folder `models`, every model and the vocabulary are written there; load() reads them.
+    """
     counts, vectorizer = vectorise(streams, no_below, no_above)
     counts = counts.cache()
     words, seconds = None, []
@@ -57,8 +65,12 @@ def grid_search(streams: DataFrame, vocabulary: DataFrame, ks: list[int], no_bel
         start = time.perf_counter()
         model = fit(counts, k, passes, seed)
         seconds.append((f"LDA (K={k})", k, time.perf_counter() - start))
+        if models:
+            model.write().overwrite().save(f"{models}/lda_{k}")
         own = topic_words(model, shown(vectorizer), topn, f"LDA (K={k})")
         words = own if words is None else words.unionByName(own)
     counts.unpersist()
+    if models:
+        vectorizer.write().overwrite().save(f"{models}/vocabulary")
     fits = streams.sparkSession.createDataFrame(seconds, "model string, k int, fit_seconds double")
     return evaluate.summary(streams, words, vocabulary).join(F.broadcast(fits), "model").drop("model"), words  # a row per k

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.vectors import normalise
 from quillspark.operators.corpus import terms
 from quillspark.sources.io import small
 
@@ -50,9 +51,18 @@ def class_words(frame: DataFrame, column: str, k: int = 8) -> DataFrame:
     return sizes.join(words, ["topic", "label"], "left")
 
 
-def topic_info(frame: DataFrame, column: str, k: int = 25) -> DataFrame:
-    """topic, n, words, word_scores of each topic."""
-    best = top_class_terms(ctfidf(frame, column, ["topic"]), ["topic"], k)
+def topic_info(frame: DataFrame, column: str, k: int = 25, min_df: int = 1, reduce_frequent: bool = True, representation: str = "ctfidf", diversity: float = 0.3) -> DataFrame:
+    """topic, n, words, word_scores of each topic; representation "mmr" chooses the words greedily among twice as many."""
+    wide = representation == "mmr"
+    best = top_class_terms(ctfidf(frame, column, ["topic"], min_df, reduce_frequent), ["topic"], 2 * k if wide else k)
+    if wide:
+        best = small(best.select("topic", "term", "score", "rank"))  # a few words of each topic
+        vectors = small(hashed_vectors(best.select("topic", F.col("term").alias("word"), "score"), "word"))
+        # a topic is near its words, by their scores
+        means = vectors.select("topic", "score", F.posexplode("embedding").alias("at", "x")).groupBy("topic", "at").agg(F.sum(F.col("score") * F.col("x")).alias("x"))
+        topic = means.groupBy("topic").agg(normalise(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"])).alias("topic_embedding"))
+        chosen = maximal_marginal_relevance(vectors.join(topic.where("topic_embedding is not null"), "topic").select("topic", "word", "embedding", "topic_embedding"), k, diversity)
+        best = best.drop("rank").join(chosen.withColumnRenamed("word", "term"), ["topic", "term"])
     ordered = F.array_sort(F.collect_list(F.struct("rank", "term", "score")))
     words = best.groupBy("topic").agg(ordered.alias("w")).select("topic", F.transform("w", lambda s: s["term"]).alias("words"), F.transform("w", lambda s: s["score"]).alias("word_scores"))
     return frame.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).join(words, "topic", "left")

@@ -11,7 +11,7 @@ from quillspark.config import Config
 from quillspark.functions import stats
 from quillspark.functions import text as tx
 from quillspark.functions.vectors import as_doubles, normalise
-from quillspark.operators import artifacts, corpus, evaluate, labeling, lda, sentiment, terms, topics
+from quillspark.operators import artifacts, corpus, evaluate, labeling, lda, predict, sentiment, terms, topics
 from quillspark.plans import fixtures as fx
 from quillspark.sources import io
 from quillspark.sources.io import table
@@ -224,6 +224,24 @@ def q_entity_frequency(spark, d):
     return corpus.entity_frequency(table(spark, d, "documents"), "text")
 
 
+_NAMES_IN = r"regexp_extract_all(text, '\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+')"
+
+
+@query(f"SELECT round(avg((len({_NAMES_IN}) > 0)::INT::DOUBLE), 9) AS share FROM documents")
+def q_entity_share(spark, d):
+    return rounded(corpus.share_where(table(spark, d, "documents").where("text is not null"), F.size(corpus.name_runs(F.col("text"))) > 0), 9)
+
+
+@query(
+    rf"""WITH n AS (SELECT doc_id, text, flatten(list_transform({_NAMES_IN}, lambda e: string_split(lower(e), ' '))) AS names FROM documents WHERE text IS NOT NULL)
+ SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{{L}}]+'), lambda t: t <> '' AND NOT list_contains(names, lower(t))) AS tokens FROM n"""
+)
+def q_without_persons(spark, d):
+    given = table(spark, d, "documents").where("text is not null")
+    surface = F.filter(F.split("text", r"(?U)[^\p{L}]+"), lambda t: t != "")
+    return given.select("doc_id", corpus.without_entities(surface, F.col("text")).alias("tokens"))
+
+
 # -- topic x label -----------------------------------------------------------------------------------------------------
 
 
@@ -496,6 +514,31 @@ def q_reduce_outliers(spark, d):
     return topics.reduce_outliers(v, key="vec_id").select("vec_id", "topic")
 
 
+@query(
+    f"""WITH q AS (SELECT vec_id AS doc_id, {_UNIT.format('embedding')} AS v FROM embeddings WHERE vec_id % 100 = 0), pool AS (SELECT vec_id, {_UNIT.format('embedding')} AS p FROM embeddings),
+ centre AS (SELECT topic, {_UNIT.format('centroid')} AS centroid FROM (SELECT topic, centroid FROM {_mean('(SELECT label AS topic, embedding FROM embeddings)')})),
+ t AS (SELECT doc_id, topic, round({_SIMILARITY.format('v', 'centroid')}, 8) AS similarity FROM q, centre), rt AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, topic) AS rank FROM t QUALIFY rank <= 3),
+ s AS (SELECT doc_id, vec_id, round({_SIMILARITY.format('v', 'p')}, 8) AS similarity FROM q, pool), rs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, vec_id) AS rank FROM s QUALIFY rank <= 3)
+ SELECT doc_id, (SELECT list(topic ORDER BY rank) FROM rt WHERE rt.doc_id = q.doc_id) AS topics, (SELECT list(vec_id ORDER BY rank) FROM rs WHERE rs.doc_id = q.doc_id) AS similar FROM q"""
+)
+def q_predict_vectors(spark, d):
+    v = fx.vectors(spark, d).withColumnRenamed("vec_id", "doc_id")
+    found = predict.predict_vectors(v.where("doc_id % 100 = 0").select("doc_id", "embedding"), topics.centroids(v), v)
+    return found.select("doc_id", F.transform("topics", lambda s: s["topic"]).alias("topics"), F.transform("similar", lambda s: s["doc_id"]).alias("similar"))
+
+
+@query(f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> ''))::INT AS n_words, n_words >= 5 AS enough FROM documents WHERE text IS NOT NULL")
+def q_predict_text(spark, d):
+    """Texts that look for their topic; the vectors are hashed TF-IDF, so the SQL gives the guard alone."""
+    reviews = fx.reviews(spark, d).select("doc_id", "review", "label", "topic")
+    docs = corpus.build_corpus(reviews, Config(min_tokens=1))
+    model = topics.HashingEmbedder(64)
+    known = model.encode(docs)
+    texts = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("review"))
+    found = predict.predict_texts(texts, docs, topics.centroids(known), known, model, Config())
+    return found.select("doc_id", "n_words", "enough")
+
+
 @query(
     f"""WITH {fx.REVIEWS}, s AS (SELECT topic_out AS t, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) - 1 AS new FROM reviews WHERE topic_out <> -1 GROUP BY 1)
  SELECT doc_id, coalesce(new, -1)::INT AS topic FROM reviews LEFT JOIN s ON t = topic_out"""
@@ -658,6 +701,20 @@ def q_best_k(spark, d):
     return evaluate.best_k(spark.createDataFrame(_GRID, "k int, npmi double, c_v double"))
 
 
+_CANDIDATES = [(k, npmi, 10.0 * k) for k, npmi, _ in _GRID]
+
+
+@query(
+    f"""WITH g AS (SELECT k, npmi, s::DOUBLE AS fit_seconds FROM (VALUES {_values(_CANDIDATES)}) g(k, npmi, s)), chosen AS (SELECT k FROM (SELECT k FROM g ORDER BY npmi DESC, k LIMIT 1) UNION SELECT k FROM g WHERE k = 25)
+ SELECT 'LDA (K=' || k || ')' AS model, fit_seconds, 'mot' || k AS word FROM g SEMI JOIN chosen USING (k) UNION ALL SELECT 'topics', 1.5, 'mot'"""
+)
+def q_candidates(spark, d):
+    grid = spark.createDataFrame(_CANDIDATES, "k int, npmi double, fit_seconds double")
+    words = lambda rows: spark.createDataFrame(rows, "model string, topic int, rank int, word string")
+    found, fits = evaluate.candidates(words([("topics", 0, 1, "mot")]), words([(f"LDA (K={k})", 0, 1, f"mot{k}") for k, _, _ in _CANDIDATES]), grid, 25, 1.5)
+    return found.join(fits, "model").select("model", "fit_seconds", "word")
+
+
 @query(f"SELECT k, npmi::DOUBLE AS npmi, c_v::DOUBLE AS c_v FROM (VALUES {_values([r for r in _GRID if r[0] != 15] + _NEW)}) g(k, npmi, c_v)")
 def q_grid_upsert(spark, d):
     frame = lambda rows: spark.createDataFrame(rows, "k int, npmi double, c_v double")

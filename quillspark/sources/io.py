@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import UTC, datetime
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,16 +57,49 @@ def write_parquet(frame: DataFrame, path: str, partition_by: list[str] | None =
     frame.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
-def write_document(path: str | Path, document: dict[str, Any]) -> None:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(document, ensure_ascii=False, indent=2), encoding="utf-8")
+def _at(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def read_document(path: str | Path) -> dict[str, Any]:
-    if not Path(path).exists():
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reaches."""
+    where, files = _at(spark, path)
+    return files.exists(where)
+
+
+def replace_table(frame: DataFrame, path: str) -> DataFrame:
+    """Writes a table that may be made from the one at path: beside it first, then in its place."""
+    spark, beside = frame.sparkSession, f"{path}.new"
+    write_parquet(frame, beside)
+    (old, files), (new, _) = _at(spark, path), _at(spark, beside)
+    files.delete(old, True)
+    files.rename(new, old)
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
+
+
+def append_table(frame: DataFrame, path: str) -> None:
+    frame.write.mode("append").parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    where, files = _at(spark, path)
+    out = files.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_document(spark: SparkSession, path: str, document: dict[str, Any]) -> None:
+    write_text(spark, path, json.dumps(document, ensure_ascii=False, indent=2, default=str))
+
+
+def read_document(spark: SparkSession, path: str) -> dict[str, Any]:
+    if not exists(spark, path):
         raise FileNotFoundError(f"{path} is missing: run the stage that writes it")
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(spark.read.text(str(path), wholetext=True).first()[0])
 
 
 def now_utc() -> str:

@@ -175,10 +175,10 @@ def test_sources(spark, tmp_path):
     frame = spark.createDataFrame([("x", 'a "quoted"\nline, two')], "k string, review string")
     io.write_csv(frame, str(tmp_path / "csv"))
     assert io.read_csv(spark, str(tmp_path / "csv"), frame.schema).first().review == 'a "quoted"\nline, two'
-    io.write_document(tmp_path / "d" / "x.json", {"é": 1})
-    assert io.read_document(tmp_path / "d" / "x.json") == {"é": 1}
+    io.write_document(spark, f"{tmp_path}/d/x.json", {"é": 1})
+    assert io.read_document(spark, f"{tmp_path}/d/x.json") == {"é": 1}
     with pytest.raises(FileNotFoundError):
-        io.read_document(tmp_path / "none.json")
+        io.read_document(spark, f"{tmp_path}/none.json")
     assert io.seeded_sample(spark.range(100).withColumnRenamed("id", "doc_id"), 7).count() == 7
 
 
