@@ -61,13 +61,18 @@ class WordBPE:
         self.cache = WordCache(self._encode_words)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts, per_word = [], np.ones(len(words), np.int64)
+        """Ids of all words and how many each has; a word with an unknown code point has the one id -1."""
+        parts, per_word, odd = [], np.ones(len(words), np.int64), []
         for i, w in enumerate(words):
             if w.isascii():
                 w = w.lower()
                 if w.isalpha():
                     parts.append(w)
                     continue
+            elif not w.isprintable() and self.unknown.search(w):  # the first is cheap; unassigned code points are not printable
+                odd.append(i)
+                parts.append("a")
+                continue
             else:
                 w = "".join([c.lower() for c in unicodedata.normalize("NFC", w)])
             own = self.pieces(w)
@@ -82,10 +87,13 @@ class WordBPE:
         ids, sizes = merge_all(flat, lengths, self.pairs)
         behind = np.concatenate([[0], np.cumsum(sizes)])
         cuts = np.concatenate([[0], np.cumsum(per_word)])
+        if odd:
+            ids = ids.copy()
+            ids[behind[cuts[odd]]] = -1
         return ids, np.diff(behind[cuts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        by_library = [i for i, t in enumerate(texts) if any(s in t for s in self.special) or not t.isascii() and self.unknown.search(t)]
+        by_library = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
         lists = [self._words(t) for t in texts]
         for i in by_library:
             lists[i] = []
@@ -93,6 +101,8 @@ class WordBPE:
         behind = np.concatenate([[0], np.cumsum(counts)])
         ends = behind[np.cumsum([len(x) for x in lists])] if lists else []
         out = np.split(ids, ends[:-1]) if lists else []
+        if len(ids) and ids.min() < 0:
+            by_library += [i for i, own in enumerate(out) if len(own) and own.min() < 0]
         for i in by_library:
             if self.library is None:
                 from tokenizers import Tokenizer
