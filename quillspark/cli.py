@@ -166,7 +166,8 @@ def label(run: Run) -> None:
     if run.args.inject:
         labels = labeling.inject(given, io.read_csv(run.spark, run.args.inject, labeling.LABEL_FIELDS), known)
     else:
-        labels = labeling.resume(LABELERS[c.labeler](c), given, known)
+        asked = given.withColumn("prompt", labeling.prompt(F.col("keywords"), F.col("reviews"), c.label_chars))
+        labels = labeling.resume(LABELERS[c.labeler](c), asked, known)
     io.replace_table(labels, run.path("labels"))
     io.write_document(run.spark, run.path("labels") + ".json", {"tag": run.tag})
     existing = run.read("labels_validation") if run.has("labels_validation") else None
