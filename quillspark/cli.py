@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import time
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import Config, load_config
 from quillspark.functions.text import ngrams, ngrams_interleaved
-from quillspark.operators import artifacts, corpus, evaluate, labeling, lda, predict, sentiment, terms, topics
+from quillspark.operators import artifacts, corpus, density, evaluate, labeling, layout, lda, predict, sentiment, terms, topics
 from quillspark.sources import io
 
 
@@ -26,7 +27,11 @@ def build_parser() -> argparse.ArgumentParser:
     parser.add_argument("--tag", help="run to read; default: that of the settings")
     parser.add_argument("--model", help="name of the embedding")
     parser.add_argument("--prefix"), parser.add_argument("--max-seq-length", type=int)
-    parser.add_argument("--clusters", type=int), parser.add_argument("--nr-topics", type=int)
+    parser.add_argument("--reduction", choices=["graph", "pca"]), parser.add_argument("--clustering", choices=["density", "kmeans"])
+    parser.add_argument("--min-cluster-size", type=int), parser.add_argument("--min-samples", type=int)
+    parser.add_argument("--selection", choices=["eom", "leaf"], help="of clusters in the condensed tree")
+    parser.add_argument("--clusters", type=int, help="of kmeans"), parser.add_argument("--nr-topics", type=int)
+    parser.add_argument("--no-save", action="store_true", help="train: neither centroids nor the map, distances and hierarchy of the topics")
     parser.add_argument("--representation", choices=["ctfidf", "mmr"])
     parser.add_argument("--k", type=int, nargs="*", help="topic numbers of the LDA grid")
     parser.add_argument("--force", action="store_true"), parser.add_argument("--agreement", action="store_true")
@@ -38,7 +43,7 @@ def build_parser() -> argparse.ArgumentParser:
 
 def settings(args: argparse.Namespace) -> Config:
     base = load_config(args.config) if args.config else Config()
-    return base.override(sample_size=args.n, embedding=args.model, prefix=args.prefix, max_length=args.max_seq_length, clusters=args.clusters, topics=args.nr_topics, representation=args.representation)
+    return base.override(sample_size=args.n, embedding=args.model, prefix=args.prefix, max_length=args.max_seq_length, reduction=args.reduction, clustering=args.clustering, min_cluster_size=args.min_cluster_size, min_samples=args.min_samples, selection=args.selection, clusters=args.clusters, topics=args.nr_topics, representation=args.representation)
 
 
 class Run:
@@ -81,29 +86,42 @@ def embedder(config: Config) -> topics.Embedder:
     return EMBEDDERS[config.embedding](config)
 
 
+def vectors_of(config: Config) -> str:
+    """The table of embeddings, named by the embedder's settings alone: runs that only cluster otherwise share it."""
+    made = hashlib.sha256(json.dumps(embedder(config).settings(), sort_keys=True).encode()).hexdigest()[:8]
+    return f"embeddings_{config.variant()}_n{config.sample_size or 'all'}_{made}"
+
+
 def embed(run: Run) -> None:
     docs = run.read("corpus", False)
     model = embedder(run.config)
-    io.load_or_compute(run.spark, run.path("embeddings"), model.settings(), docs.count(), lambda: model.encode(docs).select("doc_id", "embedding"))
+    io.load_or_compute(run.spark, run.path(vectors_of(run.config), False), model.settings(), docs.count(), lambda: model.encode(docs).select("doc_id", "embedding"))
 
 
 def train(run: Run) -> None:
     c, start = run.config, time.perf_counter()
-    docs, vectors = run.read("corpus", False), run.read("embeddings")
-    raw = topics.cluster(topics.reduce_dimensions(vectors, k=c.components), c.clusters, c.seed, c.outlier_quantile)
-    merged = topics.merge_topics(raw.withColumn("topic", F.col("topic_raw")), c.topics)
+    docs, vectors = run.read("corpus", False), run.read(vectors_of(c), False)
+    reduced = layout.graph_layout(vectors, c.components, c.n_neighbors) if c.reduction == "graph" else topics.reduce_dimensions(vectors, k=c.components)
+    if c.clustering == "density":
+        raw = density.density_clusters(io.kept(reduced, "reduced"), c.min_cluster_size, c.min_samples, c.selection, c.n_neighbors)
+    else:
+        raw = topics.cluster(reduced, c.clusters, c.seed, c.outlier_quantile)
+    raw = io.kept(raw.withColumn("topic", F.col("topic_raw")), "raw")
+    merged = topics.merge_topics(raw, c.topics)
     final = topics.reduce_outliers(merged, c.max_outlier_ratio, c.outlier_threshold)
     run.save(final.select("doc_id", "topic_raw", "topic", "embedding"), "topics")
     grams = docs.select("doc_id", ngrams(F.col("tokens"), c.dedupe_tokens).alias("grams")).join(run.read("topics").select("doc_id", "topic"), "doc_id")
     run.save(terms.topic_info(grams, "grams", c.top_words, c.min_df, c.reduce_frequent_words, c.representation, c.diversity), "topic_info")
     centres = topics.centroids(run.read("topics"))
     topics.check_centroids(run.read("topics"), centres)
-    run.save(centres, "centroids")
-    run.save(topics.topic_map(run.read("centroids")), "topic_map")
-    run.save(topics.pair_distance(run.read("centroids")), "topic_distances")
+    if not run.args.no_save:
+        run.save(centres, "centroids")
+        run.save(topics.topic_map(run.read("centroids")), "topic_map")
+        run.save(topics.pair_distance(run.read("centroids")), "topic_distances")
+        run.save(topics.topic_hierarchy(run.read("centroids")), "topic_hierarchy")
     ratios = {f"outlier_ratio_{k}": f.first()["ratio"] for k, f in (("before", topics.outlier_ratio(run.read("topics"), "topic_raw")), ("after", topics.outlier_ratio(run.read("topics"))))}
     io.write_document(run.spark, run.path("run") + ".json", {"tag": run.tag, "n": c.sample_size, "topics": run.path("topics"), **ratios})
-    shown = {"embedding": c.embedding, "clusters": c.clusters, "target_topics": c.topics, "representation": c.representation, "reduce_frequent_words": c.reduce_frequent_words, "dedupe_tokens": c.dedupe_tokens}
+    shown = {"embedding": c.embedding, "reduction": c.reduction, "clustering": c.clustering, "min_cluster_size": c.min_cluster_size, "min_samples": c.min_samples, "selection": c.selection, "clusters": c.clusters, "target_topics": c.topics, "representation": c.representation, "reduce_frequent_words": c.reduce_frequent_words, "dedupe_tokens": c.dedupe_tokens}
     row = {"tag": run.tag, "seq": time.time_ns(), "n_docs": docs.count(), "n_topics": centres.count(), "fit_seconds": time.perf_counter() - start, **ratios, **shown}
     io.append_table(run.spark.createDataFrame([row], RUN_FIELDS), run.path("runs", False))
 
@@ -185,7 +203,7 @@ def export(run: Run) -> None:
     last = io.latest(run.read("runs", False)).where(F.col("tag") == run.tag).first()
     summary = {"tag": run.tag, "n_docs": docs.count(), "n_topics": table.count(), "sentiment": run.read("sentiment_summary").first().asDict(), "run": last.asDict()}
     summary["comparison"] = [r.asDict() for r in run.read("comparison").collect()]  # a row per model
-    tables = {"topics": table, "centroids": run.read("centroids"), "topic_distances": run.read("topic_distances"), "reviews": artifacts.reviews_with_topic(docs.drop("topic"), run.read("topics")), "vectors": run.read("topics").select("doc_id", "topic", "embedding"), "representative_reviews": run.read("representative_reviews")}
+    tables = {"topics": table, "centroids": run.read("centroids"), "topic_distances": run.read("topic_distances"), "topic_hierarchy": run.read("topic_hierarchy"), "reviews": artifacts.reviews_with_topic(docs.drop("topic"), run.read("topics")), "vectors": run.read("topics").select("doc_id", "topic", "embedding"), "representative_reviews": run.read("representative_reviews")}
     artifacts.export(run.spark, f"{run.root}/artifacts", tables, summary, artifacts.model_card(summary))
 
 
@@ -206,7 +224,7 @@ def predict_texts(run: Run) -> None:
     print(json.dumps({"seconds": round(time.perf_counter() - start, 3)}))
 
 
-RUN_FIELDS = "tag string, seq long, n_docs long, n_topics long, fit_seconds double, outlier_ratio_before double, outlier_ratio_after double, embedding string, clusters int, target_topics int, representation string, reduce_frequent_words boolean, dedupe_tokens boolean"
+RUN_FIELDS = "tag string, seq long, n_docs long, n_topics long, fit_seconds double, outlier_ratio_before double, outlier_ratio_after double, embedding string, reduction string, clustering string, min_cluster_size int, min_samples int, selection string, clusters int, target_topics int, representation string, reduce_frequent_words boolean, dedupe_tokens boolean"
 #: By name in the settings; add to them for others.
 EMBEDDERS: dict[str, Callable[[Config], topics.Embedder]] = {"hashing": lambda c: topics.HashingEmbedder(prefix=c.prefix, max_length=c.max_length)}
 LABELERS: dict[str, Callable[[Config], labeling.Labeler]] = {"keywords": lambda c: labeling.KeywordLabeler()}

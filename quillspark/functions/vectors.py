@@ -16,8 +16,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit length; a zero vector becomes null."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    # the square is a variable of the outer lambda, so that it is summed once and not for every component
+    return F.element_at(F.transform(F.array(dot(v, v)), lambda s: F.when(s > 0, F.transform(v, lambda x: x / F.sqrt(s)))), 1)
 
 
 def mean_vector(frame: DataFrame, keys: list[str], vector: str, out: str = "centroid") -> DataFrame:

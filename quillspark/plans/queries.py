@@ -11,7 +11,7 @@ from quillspark.config import Config
 from quillspark.functions import stats
 from quillspark.functions import text as tx
 from quillspark.functions.vectors import as_doubles, normalise
-from quillspark.operators import artifacts, corpus, evaluate, labeling, lda, predict, sentiment, terms, topics
+from quillspark.operators import artifacts, corpus, density, evaluate, labeling, layout, lda, neighbours, predict, sentiment, terms, topics
 from quillspark.plans import fixtures as fx
 from quillspark.sources import io
 from quillspark.sources.io import table
@@ -501,6 +501,15 @@ def q_knn(spark, d):
     return topics.nearest_documents(v.where("vec_id % 100 = 0"), v).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    f"""WITH u AS (SELECT vec_id, {_UNIT.format('embedding')} AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, p.vec_id, round(list_dot_product(q.e, p.e), 8) AS similarity FROM u q, u p WHERE q.vec_id <> p.vec_id)
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank, vec_id, similarity FROM s QUALIFY rank <= 5"""
+)
+def q_neighbour_graph(spark, d):
+    v = fx.vectors(spark, d)
+    return neighbours.nearest(v, v, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
 _SPARSE = f"{_VECTORS}, r AS (SELECT vec_id, embedding, CASE WHEN vec_id % 2 = 0 THEN -1 ELSE topic END AS topic FROM v), c AS (SELECT topic, {_UNIT.format('centroid')} AS centroid FROM {_mean('r', where='topic <> -1')})"
 
 
@@ -567,6 +576,23 @@ def q_label_examples(spark, d):
     return sentiment.diversified_examples(reps).select("topic", F.col("place").cast("long"), "doc_id", "label")
 
 
+@query()
+def q_graph_layout(spark, d):
+    v = fx.vectors(spark, d)
+    found = layout.graph_layout(v, 5, key="vec_id")
+    return found.select("vec_id", *(F.round(F.col("reduced")[i], 6).alias(f"x{i}") for i in range(5)))
+
+
+@query()
+def q_density_clusters(spark, d):
+    return density.density_clusters(fx.vectors(spark, d), 10, key="vec_id", vector="embedding").select("vec_id", "topic_raw")
+
+
+@query()
+def q_topic_hierarchy(spark, d):
+    return rounded(topics.topic_hierarchy(topics.centroids(fx.vectors(spark, d))))
+
+
 @query()
 def q_topic_map(spark, d):
     return topics.topic_map(topics.centroids(fx.vectors(spark, d)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any
@@ -62,6 +64,39 @@ def _at(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one in the temporary folder only where the session has none and runs on one machine."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/quillspark-kept"
+
+
+def kept(frame: DataFrame, label: str) -> DataFrame:
+    """The table, written once to the shared folder and read again, so that later uses neither recompute it nor depend on an executor.
+
+    It lies in a folder of the application, which is deleted when the application ends, or earlier by drop_kept().
+    """
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    where, files = _at(spark, folder)
+    files.deleteOnExit(where)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def drop_kept(*frames: DataFrame) -> None:
+    """Deletes tables of kept() that nothing reads any more."""
+    for frame in frames:
+        where, files = _at(frame.sparkSession, frame._kept_path)
+        files.delete(where, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in any store that Spark reaches."""
     where, files = _at(spark, path)

@@ -14,7 +14,7 @@ def root(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("run")
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     docs.join(labels, "doc_id").where("text is not null").select("doc_id", F.col("text").alias("review"), F.col("quality").alias("label")).write.parquet(str(folder / "input"))
-    (folder / "settings.yaml").write_text("clusters: 6\ntopics: 5\nk_grid: [2, 3]\npasses: 2\nno_below: 2\nmin_words: 3\n")
+    (folder / "settings.yaml").write_text("reduction: pca\nclustering: kmeans\nclusters: 6\ntopics: 5\nk_grid: [2, 3]\npasses: 2\nno_below: 2\nmin_words: 3\n")
     return folder
 
 
@@ -46,6 +46,14 @@ def test_all_stages(spark, root, capsys):
     assert not second["enough"] and "topics" not in second and last["seconds"] > 0
 
 
+def test_density_topics(spark, root):
+    run(root, "train", "--tag", "dense", "--clustering", "density", "--reduction", "graph", "--min-cluster-size", "4", "--selection", "leaf", "--no-save")
+    rows = spark.read.parquet(f"{root}/work/topics_dense")
+    assert rows.where("topic >= 0").select("topic").distinct().count() > 1
+    assert spark.read.parquet(f"{root}/work/runs").where("tag = 'dense'").first().selection == "leaf"
+    assert not (root / "work" / "centroids_dense").exists()
+
+
 def test_labels_by_people(spark, root):
     tag = next(p.name for p in (root / "work").iterdir() if p.name.startswith("labels_clusters") or (p.name.startswith("labels_") and "validation" not in p.name and not p.name.endswith(".json")))
     path = f"{root}/work/{tag}"
