@@ -1,7 +1,8 @@
 """Main text of HTML pages by the distribution of text over lines.
 
-Markup is stripped into lines, one per block. Lines of menus, notices, forms and the like are left out before anything
-is counted, and lines that are links alone weigh nothing. Text lengths are summed over a sliding window of lines; where
+Markup is stripped into lines, one per block. Lines under elements for menus, forms and the like are left out before
+anything is counted, and lines that are links alone weigh nothing. Names of classes and ids only suggest: what they mark
+goes if the lines without marks surge by themselves, and never if it holds the title, the main element or an article. Text lengths are summed over a sliding window of lines; where
 the sum rises over the threshold a region surges, where it falls to nothing it dives. A region reaches from dive to
 dive, so the short lines that lead it belong to it. All that lies between the start of the first region and the end of
 the last is kept. Lines inside an article or main element have a bonus: they weigh twice their length, also when they are
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,6 +24,8 @@ THRESHOLD = 86
 BONUS = 2
 _OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 _QUOTED = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: A comment that is closed at once, and the ends of others.
+_NO_COMMENT, _COMMENT_END = re.compile(r"<!---?>"), re.compile(r"--!?>")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Their content is not markup.
 _RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "object"}
@@ -34,6 +38,8 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 #: Words of class, id and role names that mark what is not the article.
 _MARKS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond share sharing social related recommended widget complementary contentinfo search alert dialog skip pagination pager toolbar login signup".split())
 _MAIN = {"article", "main"}
+#: Elements that their names do not put aside, and single paragraphs.
+_UNMARKED, _PARAGRAPHS = {"html", "body", "article", "main"}, {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Inline elements; open ones are not followed.
 _FORMATTING = set("a abbr b big cite code em font i kbd label mark nobr q s small span strike strong sub sup tt u var".split())
@@ -55,12 +61,35 @@ _IMPLIED = {
 _WORD = re.compile(r"\w")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, element: str) -> int:
+    """2 if a name of the element begins with a word that marks what is not the article, 1 if it only contains one, else 0.
+
+    Of a single paragraph only a class counts, and only if it has no other words.
+    """
+    found = 0
     for m in _NAMES.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if _MARKS & set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
-    return False
+        if element in _PARAGRAPHS and m[1].lower() == "id":
+            continue
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            if element in _PARAGRAPHS and not _MARKS.issuperset(words):
+                continue
+            if _MARKS & set(words):
+                found = max(found, 2 if words[0] in _MARKS else 1)
+    return found
+
+
+class _Group:
+    """An element that is marked by its names: how much text it holds, and what speaks for it."""
+
+    def __init__(self, strong: bool, outer: _Group | None):
+        self.strong, self.outer, self.size, self.owns_title = strong, outer, 0, False
+
+    def enclosing(self) -> Iterator[_Group]:
+        group: _Group | None = self
+        while group is not None:
+            yield group
+            group = group.outer
 
 
 class _Open(list):
@@ -117,7 +146,7 @@ class _Open(list):
 def tags_of(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
     """(text before, name or None at the end, is an end tag, attributes) of each tag, in time linear in the page.
 
-    Comments and declarations are left out. A quote that never ends means nothing, nor do any quotes behind it; what
+    Comments and declarations are left out; as in HTML, a comment without an end reaches to the end of the page. A quote that never ends means nothing, nor do any quotes behind it; what
     looks like a tag but has no > behind it is text.
     """
     at = start = 0
@@ -126,8 +155,12 @@ def tags_of(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
     while (i := page.find("<", at)) >= 0:
         if page.startswith(("<!", "<?"), i):
             parts.append(page[start:i])
-            end = page.find("-->", i + 4) + 3 if page.startswith("<!--", i) else page.find(">", i) + 1
-            at = start = end if end > 2 else len(page)
+            if page.startswith("<!--", i):
+                ended = _NO_COMMENT.match(page, i) or _COMMENT_END.search(page, i + 4)
+                end = ended.end() if ended else 0
+            else:
+                end = page.find(">", i) + 1
+            at = start = end or len(page)
             continue
         m = _OPEN.match(page, i) if i < last else None
         if m is None:
@@ -149,9 +182,14 @@ def tags_of(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
     yield "".join(parts) + page[start:], None, False, ""
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
-    """(text, lies in an article or main element, is kept out, is links alone) of each block, in page order; texts are trimmed and not empty. A heading is never links alone."""
-    out: list[tuple[str, bool, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, bool, _Group | None]]:
+    """(text, lies in an article or main element, is kept out, is links alone, marked element) of each block, in page order.
+
+    Texts are trimmed and not empty. A heading is never links alone.
+    """
+    out: list[tuple[str, bool, bool, bool, _Group | None]] = []
+    groups: list[tuple[int, _Group, str]] = []  # open marked elements, their places in the stack and their names
+    followed: Counter[str] = Counter()  # names of open marked elements
     parts: list[str] = []
     stack, dropped = _Open(), -1  # dropped: place in the stack of the element that is kept out
     link, heading, plain = False, False, False
@@ -166,7 +204,11 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append((text, stack.nearest(_MAIN) >= 0, dropped >= 0, not plain and not heading))
+            group = groups[-1][1] if groups else None
+            out.append((text, stack.nearest(_MAIN) >= 0, dropped >= 0, not plain and not heading, group))
+            if group is not None and dropped < 0:
+                for g in group.enclosing():
+                    g.size += len(text)
         link, plain = False, False
 
     def end_dropped() -> None:
@@ -175,6 +217,12 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
             close()
             dropped = -1
 
+    def end_groups() -> None:
+        if groups and len(stack) <= groups[-1][0]:
+            close()
+            while groups and len(stack) <= groups[-1][0]:
+                followed[groups.pop()[2]] -= 1
+
     for text, name, ends, attributes in tags_of(page):
         add(text)
         closed = attributes.rstrip().endswith("/")
@@ -192,16 +240,27 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
         if ends:
             if (k := stack.ended_by(name, dropped)) >= 0:
                 stack.cut(k)
+                end_groups()
         elif name not in _VOID and not closed:
             if (k := stack.implied_by(name)) >= 0:
                 stack.cut(k)
+                end_groups()
             end_dropped()
             kept_out = name in _DROPPED and not (name == "header" and stack.nearest(_MAIN) >= 0)  # an article's own header holds its title
-            starts = dropped < 0 and (kept_out or (name not in _MAIN and name not in ("body", "html") and _marked(attributes)))
+            starts = dropped < 0 and kept_out
+            mark = _marked(attributes, name) if dropped < 0 and not starts and (name not in _UNMARKED or name == "article") else 0
+            if groups and dropped < 0 and (name in ("h1", "main") or (name == "article" and not mark)):
+                for g in groups[-1][1].enclosing():
+                    g.owns_title = True
             if starts:
                 close()
                 dropped = len(stack)
-            if name not in _FORMATTING or starts or (dropped >= 0 and name == stack[dropped]):
+            if mark and name not in _UNMARKED:
+                close()
+                groups.append((len(stack), _Group(mark > 1, groups[-1][1] if groups else None), name))
+                followed[name] += 1
+                starts = True
+            if name not in _FORMATTING or starts or followed[name] or (dropped >= 0 and name == stack[dropped]):
                 stack.push(name)
         end_dropped()
     close()
@@ -225,8 +284,34 @@ def _regions(weights: list[int], window: int, threshold: int) -> list[tuple[int,
     return out
 
 
+def _aside(lines: list[tuple[str, bool, bool, bool, _Group | None]], window: int, threshold: int) -> set[int]:
+    """The marked elements (by identity) whose lines go.
+
+    None that holds the title, the main element or an article without marks goes, nor one that is only marked in passing
+    (with-sidebar) and holds most of the text. The others go if the lines without marks surge or lie in an article or
+    main element, or if the whole page has no surge; else the page has its text under names that say nothing, and they
+    stay, the largest first, until there is a surge.
+    """
+    total = sum(len(line[0]) for line in lines)
+    groups = {id(g): g for line in lines if line[4] is not None for g in line[4].enclosing()}
+    gone = {i for i, g in groups.items() if not (g.owns_title or (not g.strong and 2 * g.size > total))}
+    surges = lambda rest: _regions([0 if line[3] and not line[1] else len(line[0]) for line in rest], window, threshold)
+    order = sorted(gone, key=lambda i: -groups[i].size) if surges(lines) else []
+    while order:
+        rest = [line for line in lines if line[4] is None or not any(id(g) in gone for g in line[4].enclosing())]
+        if any(line[1] for line in rest) or surges(rest):
+            break
+        # the next largest comes back, with all of its size
+        size = groups[order[0]].size
+        while order and groups[order[0]].size == size:
+            gone.discard(order.pop(0))
+    return gone
+
+
 def main_text(page: str, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
-    lines = [(text, inside, links) for text, inside, out, links in lines_of(page) if not out]
+    found = [line for line in lines_of(page) if not line[2]]
+    aside = _aside(found, window, threshold) if any(line[4] for line in found) else set()
+    lines = [(text, inside, links) for text, inside, _, links, group in found if group is None or not any(id(g) in aside for g in group.enclosing())]
     if not lines:
         return ""
     # inside an article or main element a line counts twice, and links count too

@@ -390,6 +390,25 @@ def test_html_is_linear_in_the_page():
     assert html.main_text("a<!-- <p>b</p> -->c<!-- d") == "ac"
 
 
+def test_html_names_only_suggest():
+    """Wrappers whose names only contain a listed word, or hold all of the text, lose nothing; what is aside goes."""
+    long = "<p>A long text that goes on for quite a while, with words, and then for another while.</p>"
+    wrappers = ['<div class="content with-sidebar">{}</div>', '<div id="page" class="no-sidebar">{}</div>', '<section class="post comment-enabled">{}</section>', '<div class="search-result article">{}</div>', '<div class="layout-sidebar-right"><article>{}</article></div>', '<div class="ad-page"><h1>Title</h1>{}</div>']
+    for wrapper in wrappers:
+        page = "<nav><a href=/>Home</a></nav>" + wrapper.format(long * 8) + f"<div id=comments>{long * 3}</div><footer>c</footer>"
+        assert html.main_text(page).count("A long text") == 8, wrapper
+    for post in ("post comment-enabled", "search-result"):  # none holds most of the text
+        assert html.main_text(f'<div class="{post}">{long * 3}</div>' * 3).count("A long text") == 9
+    page = f'<article><p id="search-for-meaning">Search for it.</p>{long}<p class="ad">Buy</p><div class="share-bar">Share</div></article><div class="comments"><article class="comment">{long * 9}</article></div>'
+    assert html.main_text(page).split("\n")[0] == "Search for it." and html.main_text(page).count("\n") == 1
+
+
+def test_html_short_comments():
+    for comment in ("<!-->", "<!--->", "<!-- x --!>", "<!---->", "<!-- > -->", "<!-- <!-- -->"):
+        assert html.main_text(f"<p>One</p>{comment}<p>Two</p>") == "One\nTwo", comment
+    assert html.main_text("<p>One</p><!-- <p>Two</p>") == "One"  # as in HTML, to the end of the page
+
+
 def test_html_header_of_an_article():
     assert html.main_text("<header>Site</header><article><header><h1>Head</h1></header><p>Text of it.</p><footer>Tags</footer></article>") == "Head\nText of it."
 
