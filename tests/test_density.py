@@ -36,7 +36,7 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, metric):
     monkeypatch.setattr(neighbours, "FEW", 10)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
     monkeypatch.setattr(neighbours, "PACK_ROWS", 16)
-    monkeypatch.setattr(neighbours, "PACKS", 3)
+    monkeypatch.setattr(neighbours, "GROUP_BYTES", 5000)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(12, 6))[rng.integers(0, 12, 900)] + 0.3 * rng.normal(size=(900, 6))
     x[100:250] = x[100]  # copies
