@@ -1,4 +1,4 @@
-"""LDA baseline on MLlib. MLlib learns the document prior; its topic prior is fixed."""
+"""LDA baseline: the grid over sharded_lda, and MLlib's own, whose topic prior is fixed and whose model lies in the driver."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import evaluate
+from quillspark.operators import evaluate, sharded_lda
+from quillspark.sources.io import kept
 
 
 def vectorise(streams: DataFrame, no_below: int, no_above: float, column: str = "grams") -> tuple[DataFrame, CountVectorizerModel]:
@@ -48,29 +49,21 @@ def topic_words(model: LDAModel, vocabulary: Sequence[str], topn: int, name: str
     return described.sparkSession.createDataFrame(words, "model string, topic int, rank int, word string")
 
 
-def load(path: str, k: int) -> tuple[LDAModel, CountVectorizerModel]:
-    """A model of grid_search() and its vocabulary."""
-    return LocalLDAModel.load(f"{path}/lda_{k}"), CountVectorizerModel.load(f"{path}/vocabulary")
-
-
 def grid_search(streams: DataFrame, vocabulary: DataFrame, ks: list[int], no_below: int, no_above: float, topn: int = 25, passes: int = 10, seed: int = 42, models: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(grid with metrics and seconds, words of all models): counts are made once and cached for all k.
+    """(grid with metrics and seconds, words of all models), sharded by term: counts are packed once for all k.
 
-    With a folder `models`, every model and the vocabulary are written there; load() reads them.
+    With a folder `models`, every model is written there as lda_K; sharded_lda.load() reads it.
     """
-    counts, vectorizer = vectorise(streams, no_below, no_above)
-    counts = counts.cache()
+    counts = sharded_lda.count_cells(streams, no_below, no_above)
     words, seconds = None, []
     for k in ks:
         start = time.perf_counter()
-        model = fit(counts, k, passes, seed)
+        model = sharded_lda.fit(counts, k, passes * sharded_lda.STEPS, seed)
         seconds.append((f"LDA (K={k})", k, time.perf_counter() - start))
         if models:
-            model.write().overwrite().save(f"{models}/lda_{k}")
-        own = topic_words(model, shown(vectorizer), topn, f"LDA (K={k})")
+            sharded_lda.save(model, f"{models}/lda_{k}")
+        own = sharded_lda.topic_words(model, streams, topn, f"LDA (K={k})")
         words = own if words is None else words.unionByName(own)
-    counts.unpersist()
-    if models:
-        vectorizer.write().overwrite().save(f"{models}/vocabulary")
+    words = kept(words, "lda-words")
     fits = streams.sparkSession.createDataFrame(seconds, "model string, k int, fit_seconds double")
     return evaluate.summary(streams, words, vocabulary).join(F.broadcast(fits), "model").drop("model"), words  # a row per k

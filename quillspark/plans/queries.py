@@ -11,7 +11,7 @@ from quillspark.config import Config
 from quillspark.functions import stats
 from quillspark.functions import text as tx
 from quillspark.functions.vectors import as_doubles, normalise
-from quillspark.operators import artifacts, corpus, density, evaluate, labeling, layout, lda, neighbours, predict, sentiment, terms, topics
+from quillspark.operators import artifacts, corpus, density, evaluate, labeling, layout, neighbours, predict, sentiment, sharded_lda, terms, topics
 from quillspark.plans import fixtures as fx
 from quillspark.sources import io
 from quillspark.sources.io import table
@@ -710,8 +710,8 @@ def q_per_topic_union(spark, d):
 @query()
 def q_lda_topics(spark, d):
     t = fx.tokenized(spark, d).select("doc_id", F.col("stream").alias("grams"))
-    counts, vectorizer = lda.vectorise(t, 3, 0.5)
-    return lda.topic_words(lda.fit(counts, 5, Config().passes), lda.shown(vectorizer), 10, "LDA (K=5)")
+    model = sharded_lda.fit(sharded_lda.count_cells(t, 3, 0.5), 5, Config().passes * sharded_lda.STEPS)
+    return sharded_lda.topic_words(model, t, 10, "LDA (K=5)")
 
 
 # -- run tables (literals) ---------------------------------------------------------------------------------------------
