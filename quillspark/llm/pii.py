@@ -7,6 +7,8 @@ in time linear in the text, without deep recursion in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,8 @@ AGAINST = {
 }
 CONTEXT_GAIN, CONTEXT_CHARS, THRESHOLD = 0.3, 40, 0.5
 _BLOCK = 256
+#: Code points of the pieces in which a text is masked.
+_CHUNK = 4096
 
 
 def _digits(c: Column) -> Column:
@@ -98,13 +102,21 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value as a variable of a lambda: other lambdas inside do not work it out again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _in_blocks(values: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
+
+
 def _sums(values: Column) -> Column:
     """Running sums before each value, in blocks, so that long arrays cost less than their square."""
     prefix = lambda v: F.aggregate(v, F.struct(F.array().cast("array<bigint>").alias("a"), F.lit(0).cast("bigint").alias("s")), lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["s"])).alias("a"), (acc["s"] + x).alias("s")), lambda acc: acc["a"])
     total = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
-    before = prefix(F.transform(blocks, total))
-    return F.flatten(F.zip_with(blocks, before, lambda block, start: F.transform(prefix(block), lambda x: x + start)))
+    summed = lambda blocks: F.flatten(F.zip_with(blocks, prefix(F.transform(blocks, total)), lambda block, start: F.transform(prefix(block), lambda x: x + start)))
+    return _once(values, lambda v: _once(_in_blocks(v), summed))
 
 
 def _proposals(kind: str) -> Column:
@@ -119,6 +131,7 @@ def _proposals(kind: str) -> Column:
     behind = F.slice(parts, F.lit(2), F.size(matches))
     steps = F.zip_with(gaps, matches, lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
     most = F.lit(CONTEXT_CHARS)
+    # each of these is one pass over the matches
     joined = F.zip_with(gaps, matches, lambda g, m: F.right(F.concat(F.right(g, most), F.right(m, most)), most))
     before = F.zip_with(F.concat(F.array(F.lit("")), F.slice(joined, F.lit(1), F.size(matches) - 1)), gaps, lambda m, g: F.right(F.concat(F.right(m, most), F.right(g, most)), most))
     after = F.zip_with(behind, F.concat(F.slice(matches, F.lit(2), F.size(matches)), F.array(F.lit(""))), lambda g, m: F.left(F.concat(F.left(g, most), F.left(m, most)), most))
@@ -172,6 +185,34 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("spans").alias("spans"), scores.alias("scores"))
 
 
+def _apart(spans: str) -> Column:
+    """Spans by start, the longest first; those that begin inside one that stays are left out."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    nothing = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
+    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct((-s["back"]).cast("bigint").alias("at"), F.concat(a["out"], F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))).alias("out")))
+    state = lambda at: F.struct(at.cast("bigint").alias("at"), nothing.alias("out"))
+    # block by block, as every step copies what it has so far
+    over = lambda a, block: _once(F.aggregate(block, state(a["at"]), step), lambda own: F.struct(own["at"].alias("at"), F.concat(a["out"], own["out"]).alias("out")))
+    return _once(ordered, lambda o: F.aggregate(_in_blocks(o), state(F.lit(0)), over, lambda a: a["out"]))
+
+
+def _masked(chunks: Column, masks: Column) -> Column:
+    """The text of chunks of _CHUNK code points with masks (start, end, kind) in place of what they cover; places are looked up by chunk."""
+    at = lambda place: F.coalesce(F.get(chunks, F.floor(place / _CHUNK).cast("int")), F.lit(""))
+    inside = lambda place: (place % _CHUNK).cast("int")
+
+    def piece(start: Column, end: Column) -> Column:
+        i, j = F.floor(start / _CHUNK).cast("int"), F.floor(end / _CHUNK).cast("int")
+        whole = F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        apart = F.concat(F.substring(at(start), inside(start) + 1, F.lit(_CHUNK)), whole, F.substring(at(end), F.lit(1), inside(end)))
+        return F.when(i == j, F.substring(at(start), inside(start) + 1, (end - start).cast("int"))).otherwise(apart)
+
+    before = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(masks, lambda m: m["end"]))
+    until = F.concat(F.transform(masks, lambda m: m["start"]), F.array(F.length("text").cast("bigint")))
+    kinds = F.concat(F.transform(masks, lambda m: F.concat(F.lit("["), m["kind"], F.lit("]"))), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.zip_with(before, until, piece), kinds, lambda text, kind: F.concat(text, kind)), "")
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every confirmed span replaced by its kind in brackets; all columns and rows stay, n_chars follows the text.
 
@@ -181,10 +222,8 @@ def mask(docs: DataFrame) -> DataFrame:
     other = [c for c in columns if c not in ("doc_id", "text")]
     renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(other)), F.col("text").isNull().alias("_null"))
     found = find_spans(renamed, tuple(f"_kept_{i}" for i in range(len(other))) + ("_null",))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(1).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-    step = lambda a, s: F.when(s["start"] + 1 < a["at"], a).otherwise(F.struct((F.lit(1) - s["back"]).cast("bigint").alias("at"), F.concat(a["parts"], F.array(F.substring(F.col("text"), a["at"], s["start"] + 1 - a["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))).alias("parts")))
-    masked = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"], F.lit(2**31 - 1))))
+    found = found.withColumn("_masks", F.when(F.size("spans") > 0, _apart("spans")))
+    masked = _once(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)), lambda chunks: _once(F.col("_masks"), lambda masks: _masked(chunks, masks)))
     found = found.withColumn("text", F.when(F.col("_null"), F.lit(None)).when(F.size("spans") > 0, masked).otherwise(F.col("text")))
     out = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"_kept_{i}") for i, c in enumerate(other)}
     if "n_chars" in out:

@@ -485,3 +485,33 @@ def test_empty_tables(spark):
     ranks, vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
     for frame in (pii.report(none), substrings.dedup_substrings(none), lines.dedup_lines(none), near_duplicates.link_components(none), tokens.encode_documents(none, ranks), packing.pack_documents(none, vocabulary), media.media_column(none), toxicity.toxicity(none, labels)):
         assert frame.count() == 0
+
+
+def test_pii_of_very_many_spans(spark):
+    """One text with many spans: the time grows in proportion, for the report and the mask, and the mask is right."""
+    import time
+
+    def timed(n):
+        text = " ".join(f"user{i}@ex.org é{'😀' * (i % 3)}" for i in range(n))
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        out = []
+        for use in (pii.report, pii.mask):
+            start = time.perf_counter()
+            row = use(frame).first()
+            out.append(time.perf_counter() - start)
+        assert row.text == " ".join(f"[email] é{'😀' * (i % 3)}" for i in range(n))
+        return out
+
+    timed(200)
+    few, many = timed(16_000), timed(32_000)
+    assert all(b < 2.2 * a + 1 for a, b in zip(few, many)), (few, many)
+
+
+def test_pii_mask_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_CHUNK", 7)
+    monkeypatch.setattr(pii, "_BLOCK", 2)
+    texts = ["a b", "me@ex.org", "x" * 40 + " me@ex.org 10.0.0.1 é😀 you@ex.org" + "y" * 15, "call +1 212 555 0100, or 10.0.0.1 x 10.0.0.2 x 10.0.0.3"]
+    got = pii.mask(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    want = ["a b", "[email]", "x" * 40 + " [email] [ip] é😀 [email]", "call [phone], or [ip] x [ip] x [ip]"]
+    assert [r.text for r in got][:2] == want[:2] and got[3].text == want[3]
+    assert got[2].text.startswith("x" * 40 + " [email] [ip] é😀 [email]")
