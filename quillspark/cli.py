@@ -57,13 +57,13 @@ class Run:
         return f"{self.root}/{name}_{self.tag}" if tagged else f"{self.root}/{name}"
 
     def read(self, name: str, tagged: bool = True) -> DataFrame:
-        path = self.path(name, tagged)
-        if not self.has(name, tagged):
-            raise FileNotFoundError(f"{path} is missing: run the stage that writes it")
-        return self.spark.read.parquet(path)
+        found = io.current_path(self.spark, self.path(name, tagged))
+        if found is None:
+            raise FileNotFoundError(f"{self.path(name, tagged)} is missing: run the stage that writes it")
+        return self.spark.read.parquet(found)
 
     def has(self, name: str, tagged: bool = True) -> bool:
-        return io.exists(self.spark, self.path(name, tagged))
+        return io.current_path(self.spark, self.path(name, tagged)) is not None
 
     def save(self, frame: DataFrame, name: str, tagged: bool = True) -> None:
         io.write_parquet(frame, self.path(name, tagged))

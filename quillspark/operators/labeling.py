@@ -56,6 +56,11 @@ def validate(answers: DataFrame) -> DataFrame:
     return out.withColumn("valid", error.isNull()).withColumn("error", error)
 
 
+def of_kind(table: DataFrame, labels: DataFrame, kind: str = KINDS[0]) -> DataFrame:
+    """The rows of a table of topics whose label is of a kind; charts show subjects only."""
+    return table.join(labels.where(F.col("kind") == kind).select("topic"), "topic", "left_semi")
+
+
 def missing(topics: DataFrame, labels: DataFrame) -> DataFrame:
     """Topics that have no label yet."""
     return topics.where("topic <> -1").select("topic").distinct().join(labels.select("topic"), "topic", "left_anti").orderBy("topic")

@@ -380,6 +380,17 @@ def q_diverging_data(spark, d):
     return rounded(sentiment.diverging_data(sentiment.sentiment_table(fx.two_sided(spark, d)), names))
 
 
+@query(
+    f"""WITH {fx.TWO_SIDED}, {_sentiment('two')}, kinds AS (SELECT lang AS topic, CASE WHEN count(DISTINCT source) % 2 = min(doc_id) % 2 THEN 'sujet' ELSE 'ton' END AS kind, 'langue ' || lang AS name FROM documents GROUP BY lang)
+ SELECT topic, topic || ' · ' || name AS name, round(diff_pp, 6) AS diff_pp, round(100 * (ci_high - share_pos), 6) AS plus, round(100 * (share_pos - ci_low), 6) AS minus, direction FROM sentiment JOIN kinds USING (topic) WHERE kind = 'sujet'"""
+)
+def q_subject_chart(spark, d):
+    kind = F.when(F.count_distinct("source") % 2 == F.min("doc_id") % 2, "sujet").otherwise("ton")
+    labels = table(spark, d, "documents").groupBy(F.col("lang").alias("topic")).agg(kind.alias("kind")).withColumn("name", F.concat(F.lit("langue "), "topic"))
+    subjects = labeling.of_kind(sentiment.sentiment_table(fx.two_sided(spark, d)), labels)
+    return rounded(sentiment.diverging_data(subjects, labels.select("topic", "name")))
+
+
 @query(
     f"""WITH {fx.TWO_SIDED}, {_sentiment('two')}, b AS (SELECT 'best' AS side, topic, round(diff_pp, 6) AS diff_pp, row_number() OVER (ORDER BY diff_pp DESC, topic) AS place FROM sentiment WHERE significant QUALIFY place <= 2),
  w AS (SELECT 'worst' AS side, topic, round(diff_pp, 6) AS diff_pp, row_number() OVER (ORDER BY diff_pp, topic) AS place FROM sentiment WHERE significant QUALIFY place <= 2) FROM b UNION ALL FROM w"""
@@ -716,60 +727,58 @@ def q_lda_topics(spark, d):
 
 # -- run tables (literals) ---------------------------------------------------------------------------------------------
 
-_GRID = [(10, -0.02, 0.41), (15, -0.01, 0.43), (20, -0.01, 0.44), (25, -0.05, 0.40)]
-_NEW = [(15, -0.03, 0.42), (30, -0.04, 0.39)]
-_RUNS = [("a", 1, 11.0), ("b", 2, 12.0), ("a", 3, 13.0)]
-_values = lambda rows: ", ".join(str(r) for r in rows)
+_GRID_OF = "SELECT substr(source, 4)::INT AS k, round(avg(quality), 2) AS npmi, round(avg(toxic), 6) AS c_v, sum(n_chars)::DOUBLE AS fit_seconds FROM documents JOIN labels USING (doc_id) {} GROUP BY source"
+#: A grid of models made from the labelled documents of each source; two places make ties.
+_GRID = f"grid AS ({_GRID_OF.format('')})"
 
 
-@query(f"SELECT k FROM (VALUES {_values(_GRID)}) g(k, npmi, c_v) ORDER BY npmi DESC, k LIMIT 1")
-def q_best_k(spark, d):
-    return evaluate.best_k(spark.createDataFrame(_GRID, "k int, npmi double, c_v double"))
+def _grid(spark: SparkSession, d: str, only=None) -> DataFrame:
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    found = (docs if only is None else docs.where(only)).groupBy("source").agg(F.round(F.avg("quality"), 2).alias("npmi"), F.round(F.avg("toxic"), 6).alias("c_v"), F.sum("n_chars").cast("double").alias("fit_seconds"))
+    return found.select(F.substring("source", 4, 9).cast("int").alias("k"), "npmi", "c_v", "fit_seconds")
+
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run log: each document is a run of its source."""
+    return table(spark, d, "documents").select(F.col("source").alias("tag"), F.col("doc_id").alias("seq"), F.col("n_chars").alias("fit_seconds"))
 
-_CANDIDATES = [(k, npmi, 10.0 * k) for k, npmi, _ in _GRID]
+
+@query(f"WITH {_GRID} SELECT k FROM grid ORDER BY npmi DESC, k LIMIT 1")
+def q_best_k(spark, d):
+    return evaluate.best_k(_grid(spark, d))
 
 
 @query(
-    f"""WITH g AS (SELECT k, npmi, s::DOUBLE AS fit_seconds FROM (VALUES {_values(_CANDIDATES)}) g(k, npmi, s)), chosen AS (SELECT k FROM (SELECT k FROM g ORDER BY npmi DESC, k LIMIT 1) UNION SELECT k FROM g WHERE k = 25)
- SELECT 'LDA (K=' || k || ')' AS model, fit_seconds, 'mot' || k AS word FROM g SEMI JOIN chosen USING (k) UNION ALL SELECT 'topics', 1.5, 'mot'"""
+    f"""WITH {_GRID}, chosen AS (SELECT k FROM (SELECT k FROM grid ORDER BY npmi DESC, k LIMIT 1) UNION SELECT k FROM grid WHERE k = 7)
+ SELECT 'LDA (K=' || k || ')' AS model, any_value(fit_seconds) AS fit_seconds, min(d.lang) AS word FROM grid SEMI JOIN chosen USING (k) JOIN documents d ON d.source = 'src' || k GROUP BY k
+ UNION ALL SELECT 'topics', 1.5, (SELECT max(lang) FROM documents)"""
 )
 def q_candidates(spark, d):
-    grid = spark.createDataFrame(_CANDIDATES, "k int, npmi double, fit_seconds double")
-    words = lambda rows: spark.createDataFrame(rows, "model string, topic int, rank int, word string")
-    found, fits = evaluate.candidates(words([("topics", 0, 1, "mot")]), words([(f"LDA (K={k})", 0, 1, f"mot{k}") for k, _, _ in _CANDIDATES]), grid, 25, 1.5)
+    docs, one = table(spark, d, "documents"), [F.lit(0).alias("topic"), F.lit(1).alias("rank")]
+    words = docs.groupBy("source").agg(F.min("lang").alias("word")).select(F.concat(F.lit("LDA (K="), F.substring("source", 4, 9), F.lit(")")).alias("model"), *one, "word")
+    main = docs.agg(F.max("lang").alias("word")).select(F.lit("topics").alias("model"), *one, "word")
+    found, fits = evaluate.candidates(main, words, _grid(spark, d), 7, 1.5)
     return found.join(fits, "model").select("model", "fit_seconds", "word")
 
 
-@query(f"SELECT k, npmi::DOUBLE AS npmi, c_v::DOUBLE AS c_v FROM (VALUES {_values([r for r in _GRID if r[0] != 15] + _NEW)}) g(k, npmi, c_v)")
+@query(f"WITH {_GRID}, fresh AS ({_GRID_OF.format('WHERE quality = 1')}) FROM fresh UNION ALL SELECT * FROM grid WHERE k NOT IN (SELECT k FROM fresh)")
 def q_grid_upsert(spark, d):
-    frame = lambda rows: spark.createDataFrame(rows, "k int, npmi double, c_v double")
-    return io.upsert(frame(_GRID), frame(_NEW), ["k"])
+    return io.upsert(_grid(spark, d), _grid(spark, d, F.col("quality") == 1), ["k"])
 
 
-@query("SELECT * FROM (VALUES ('a', 3, 13.0::DOUBLE), ('b', 2, 12.0::DOUBLE)) r(tag, seq, fit_seconds)")
+@query("SELECT source AS tag, max(doc_id) AS seq, arg_max(n_chars, doc_id) AS fit_seconds FROM documents GROUP BY source")
 def q_latest_run(spark, d):
-    return io.latest(spark.createDataFrame(_RUNS, "tag string, seq int, fit_seconds double"))
+    return io.latest(_runs(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 11.0::DOUBLE, NULL::INT), ('b', 2, 12.0::DOUBLE, NULL), ('a', 3, 13.0::DOUBLE, NULL), ('c', 4, NULL, 29)) r(tag, seq, fit_seconds, n_topics)")
+@query("SELECT source AS tag, doc_id AS seq, n_chars AS fit_seconds, NULL::BIGINT AS n_topics FROM documents UNION ALL SELECT 'labels', max(doc_id), NULL, count(DISTINCT quality) FROM labels")
 def q_append_run(spark, d):
-    runs = spark.createDataFrame(_RUNS, "tag string, seq int, fit_seconds double")
-    return io.append_run(runs, spark.createDataFrame([("c", 4, 29)], "tag string, seq int, n_topics int"))
+    row = table(spark, d, "labels").agg(F.lit("labels").alias("tag"), F.max("doc_id").alias("seq"), F.count_distinct("quality").alias("n_topics"))
+    return io.append_run(_runs(spark, d), row)
 
 
 # -- labels ------------------------------------------------------------------------------------------------------------
 
-_ANSWERS = [
-    (0, "« Films d'horreur »", "sujet"),
-    (1, "Horreur", "sujet"),
-    (2, "  \"Comédies romantiques françaises\" ", "ton"),
-    (3, "un deux trois quatre cinq six", "sujet"),
-    (4, "Critiques d’ennui", "autre"),
-    (5, None, "ton"),
-]
-
-
 def _sql(v) -> str:
     return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
 
@@ -779,13 +788,17 @@ def _rows(rows) -> str:
 
 
 @query(
-    rf"""WITH a AS (SELECT topic, trim(trim(label), '«»"'' ') AS label, kind FROM (VALUES {_rows(_ANSWERS)}) v(topic, label, kind)),
+    rf"""WITH v AS (SELECT doc_id AS topic, ' «' || array_to_string(string_split(text, ' ')[1:doc_id % 7 + 1], ' ') || '" ' AS label, CASE doc_id % 3 WHEN 0 THEN 'sujet' WHEN 1 THEN 'ton' ELSE lang END AS kind FROM documents),
+ a AS (SELECT topic, trim(trim(label), '«»"'' ') AS label, kind FROM v),
  n AS (SELECT *, len(list_filter(regexp_split_to_array(translate(label, '''’', '  '), '\s+'), lambda w: w <> '')) AS n_words FROM a),
  e AS (SELECT *, CASE WHEN NOT coalesce(n_words BETWEEN 2 AND 5, false) THEN 'label' WHEN NOT coalesce(kind IN ('sujet', 'ton'), false) THEN 'kind' END AS error FROM n)
  SELECT topic, label, kind, n_words::INT AS n_words, error IS NULL AS valid, error FROM e"""
 )
 def q_validate_labels(spark, d):
-    out = labeling.validate(spark.createDataFrame(_ANSWERS, "topic int, label string, kind string"))
+    words = F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.col("doc_id") % 7 + 1).cast("int")), " ")
+    kind = F.when(F.col("doc_id") % 3 == 0, "sujet").when(F.col("doc_id") % 3 == 1, "ton").otherwise(F.col("lang"))
+    answers = table(spark, d, "documents").select(F.col("doc_id").alias("topic"), F.concat(F.lit(" «"), words, F.lit('" ')).alias("label"), kind.alias("kind"))
+    out = labeling.validate(answers)
     return out.withColumn("n_words", F.when(F.col("label").isNotNull(), F.col("n_words")))
 
 
@@ -829,21 +842,27 @@ def q_validation_grid(spark, d):
     return labeling.validation_grid(_label_inputs(spark, d), spark.createDataFrame(_LABELS, _LABEL_FIELDS))
 
 
-_GRADES = [(0, "sujet", "validé tel quel", 1.0), (1, "ton", None, 0.5), (2, "sujet", "autre chose", 0.0), (3, "ton", None, None), (4, "sujet", "validé tel quel", 1.0)]
+#: Grades of people, made from the labels of the documents.
+_GRADES = "grades AS (SELECT doc_id AS topic, CASE WHEN quality = 1 THEN 'sujet' ELSE 'ton' END AS kind, CASE WHEN toxic = 1 THEN 'autre' ELSE 'validé tel quel' END AS human, CASE doc_id % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.5 WHEN 2 THEN 1 END AS match FROM labels)"
+
+
+def _grades(spark: SparkSession, d: str) -> DataFrame:
+    rest = F.col("doc_id") % 4
+    score = F.when(rest == 0, 0.0).when(rest == 1, 0.5).when(rest == 2, 1.0)
+    return table(spark, d, "labels").select(F.col("doc_id").alias("topic"), F.when(F.col("quality") == 1, "sujet").otherwise("ton").alias("llm_kind"), F.when(F.col("toxic") == 1, "autre").otherwise("validé tel quel").alias("human_label"), score.alias("match"))
 
 
 @query(
-    f"""SELECT count(*) AS n_topics, count(match) AS n_scored, round(avg(match), 6) AS agreement, round(avg((match = 1)::INT) FILTER (match IS NOT NULL), 6) AS exact_share,
- CASE WHEN bool_and(trim(coalesce(human, '')) = 'validé tel quel') FILTER (match IS NOT NULL) THEN 'approbation' ELSE 'étiquetage humain indépendant' END AS method, avg(match) >= 0.7 AS passed
- FROM (VALUES {_rows(_GRADES)}) g(topic, kind, human, match)"""
+    f"""WITH {_GRADES} SELECT count(*) AS n_topics, count(match) AS n_scored, round(avg(match), 6) AS agreement, round(avg((match = 1)::INT) FILTER (match IS NOT NULL), 6) AS exact_share,
+ CASE WHEN bool_and(trim(coalesce(human, '')) = 'validé tel quel') FILTER (match IS NOT NULL) THEN 'approbation' ELSE 'étiquetage humain indépendant' END AS method, avg(match) >= 0.7 AS passed FROM grades"""
 )
 def q_agreement(spark, d):
-    return rounded(labeling.agreement(spark.createDataFrame(_GRADES, "topic int, llm_kind string, human_label string, match double")))
+    return rounded(labeling.agreement(_grades(spark, d)))
 
 
-@query(f"SELECT kind AS llm_kind, round(avg(match), 3)::DOUBLE AS match FROM (VALUES {_rows(_GRADES)}) g(topic, kind, human, match) WHERE match IS NOT NULL GROUP BY kind")
+@query(f"WITH {_GRADES} SELECT kind AS llm_kind, round(avg(match), 3)::DOUBLE AS match FROM grades WHERE match IS NOT NULL GROUP BY kind")
 def q_agreement_by_kind(spark, d):
-    return labeling.agreement_by_kind(spark.createDataFrame(_GRADES, "topic int, llm_kind string, human_label string, match double"))
+    return labeling.agreement_by_kind(_grades(spark, d))
 
 
 # -- artifacts ---------------------------------------------------------------------------------------------------------

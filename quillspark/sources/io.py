@@ -103,13 +103,53 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    (old, files), (new, _) = _at(spark, source), _at(spark, target)
+    if not files.rename(old, new):
+        raise OSError(f"{source} could not become {target}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, files = _at(spark, path)
+    files.delete(where, True)
+
+
+def current_path(spark: SparkSession, path: str) -> str | None:
+    """Where the last whole version of a table lies: at path, or beside it if replace_table() was stopped half-way."""
+    if exists(spark, path):
+        return path
+    if exists(spark, f"{path}.new/_SUCCESS"):
+        return f"{path}.new"
+    return f"{path}.old" if exists(spark, f"{path}.old") else None
+
+
+def _settle(spark: SparkSession, path: str) -> None:
+    """Brings the last whole version to path and removes what a stopped replacement has left."""
+    found = current_path(spark, path)
+    if found is not None and found != path:
+        _rename(spark, found, path)
+    for rest in (f"{path}.new", f"{path}.old"):
+        if exists(spark, rest):
+            _delete(spark, rest)
+
+
 def replace_table(frame: DataFrame, path: str) -> DataFrame:
-    """Writes a table that may be made from the one at path: beside it first, then in its place."""
-    spark, beside = frame.sparkSession, f"{path}.new"
+    """Writes a table that may be made from the one at path: beside it first, then in its place.
+
+    At every moment a whole version lies at path or where current_path() says; one that was stopped is finished, or
+    taken back if it was not whole, by the next replacement.
+    """
+    spark = frame.sparkSession
+    if current_path(spark, path) == path:  # else the frame may be made from what lies beside
+        _settle(spark, path)
+    beside = f"{path}.new" if current_path(spark, path) != f"{path}.new" else f"{path}.newer"
     write_parquet(frame, beside)
-    (old, files), (new, _) = _at(spark, path), _at(spark, beside)
-    files.delete(old, True)
-    files.rename(new, old)
+    if beside.endswith(".newer"):
+        _settle(spark, path)
+    if exists(spark, path):
+        _rename(spark, path, f"{path}.old")
+    _rename(spark, beside, path)
+    _settle(spark, path)
     spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)
 
