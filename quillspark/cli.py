@@ -32,7 +32,7 @@ def build_parser() -> argparse.ArgumentParser:
     parser.add_argument("--selection", choices=["eom", "leaf"], help="of clusters in the condensed tree")
     parser.add_argument("--clusters", type=int, help="of kmeans"), parser.add_argument("--nr-topics", type=int)
     parser.add_argument("--no-save", action="store_true", help="train: neither centroids nor the map, distances and hierarchy of the topics")
-    parser.add_argument("--representation", choices=["ctfidf", "mmr"])
+    parser.add_argument("--representation", choices=["ctfidf", "mmr", "keybert"])
     parser.add_argument("--k", type=int, nargs="*", help="topic numbers of the LDA grid")
     parser.add_argument("--force", action="store_true"), parser.add_argument("--agreement", action="store_true")
     parser.add_argument("--inject", help="CSV of topic, label, description, kind that replaces labels, for label")
@@ -111,7 +111,7 @@ def train(run: Run) -> None:
     final = topics.reduce_outliers(merged, c.max_outlier_ratio, c.outlier_threshold)
     run.save(final.select("doc_id", "topic_raw", "topic", "embedding"), "topics")
     grams = docs.select("doc_id", ngrams(F.col("tokens"), c.dedupe_tokens).alias("grams")).join(run.read("topics").select("doc_id", "topic"), "doc_id")
-    run.save(terms.topic_info(grams, "grams", c.top_words, c.min_df, c.reduce_frequent_words, c.representation, c.diversity), "topic_info")
+    run.save(terms.topic_info(grams, "grams", c.top_words, c.min_df, c.reduce_frequent_words, c.representation, c.diversity, vectors), "topic_info")
     centres = topics.centroids(run.read("topics"))
     topics.check_centroids(run.read("topics"), centres)
     if not run.args.no_save:

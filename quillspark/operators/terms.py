@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.vectors import normalise
+from quillspark.functions.vectors import as_doubles, dot, mean_vector, normalise
 from quillspark.operators.corpus import terms
 from quillspark.sources.io import small
 
@@ -51,10 +51,19 @@ def class_words(frame: DataFrame, column: str, k: int = 8) -> DataFrame:
     return sizes.join(words, ["topic", "label"], "left")
 
 
-def topic_info(frame: DataFrame, column: str, k: int = 25, min_df: int = 1, reduce_frequent: bool = True, representation: str = "ctfidf", diversity: float = 0.3) -> DataFrame:
-    """topic, n, words, word_scores of each topic; representation "mmr" chooses the words greedily among twice as many."""
+def topic_info(frame: DataFrame, column: str, k: int = 25, min_df: int = 1, reduce_frequent: bool = True, representation: str = "ctfidf", diversity: float = 0.3, vectors: DataFrame | None = None, candidates: int = 100) -> DataFrame:
+    """topic, n, words, word_scores of each topic.
+
+    Representation "mmr" chooses the words greedily among twice as many; "keybert" takes, of the `candidates` best ones,
+    those nearest to the representative documents, by vectors (doc_id, embedding) of the documents.
+    """
     wide = representation == "mmr"
-    best = top_class_terms(ctfidf(frame, column, ["topic"], min_df, reduce_frequent), ["topic"], 2 * k if wide else k)
+    best = top_class_terms(ctfidf(frame, column, ["topic"], min_df, reduce_frequent), ["topic"], 2 * k if wide else candidates if representation == "keybert" else k)
+    if representation == "keybert":
+        placed = frame.join(vectors.select("doc_id", "embedding"), "doc_id")
+        asked = small(best.select("topic", F.col("term").alias("word")))  # a few words of each topic
+        near = keybert(asked, word_vectors(placed, asked, column), representative_vectors(placed), k)
+        best = near.select("topic", F.col("word").alias("term"), F.col("similarity").alias("score"), "rank")
     if wide:
         best = small(best.select("topic", "term", "score", "rank"))  # a few words of each topic
         vectors = small(hashed_vectors(best.select("topic", F.col("term").alias("word"), "score"), "word"))
@@ -93,6 +102,35 @@ def maximal_marginal_relevance(candidates: DataFrame, k: int, diversity: float)
     return candidates.groupBy("topic").applyInPandas(choose, "topic int, rank int, word string")
 
 
+def representative_vectors(frame: DataFrame, representatives: int = 5, vector: str = "embedding", key: str = "doc_id") -> DataFrame:
+    """topic, topic_embedding: the unit mean of the vectors of the documents nearest to each topic's centre; each task keeps a few per topic."""
+    centres = small(mean_vector(frame, ["topic"], vector).withColumn("centroid", normalise(F.col("centroid"))))  # a row per topic
+    near = F.round(dot(normalise(as_doubles(F.col(vector))), F.col("centroid")), 8)
+    by = Window.partitionBy("topic").orderBy(F.desc("_near"), key)
+    chosen = frame.join(centres, "topic").withColumn("_near", near).where("_near is not null").withColumn("_place", F.row_number().over(by)).where(F.col("_place") <= representatives)
+    return mean_vector(chosen, ["topic"], vector).select("topic", normalise(F.col("centroid")).alias("topic_embedding")).where("topic_embedding is not null")
+
+
+def word_vectors(frame: DataFrame, words: DataFrame, column: str, vector: str = "embedding") -> DataFrame:
+    """word, embedding: for each of a few words (column word) the unit mean of the vectors of the documents that hold it."""
+    first = frame.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    size = first[0] if first else 0
+    held = frame.where(F.col(vector).isNotNull()).select(F.explode(F.array_distinct(column)).alias("word"), F.col(vector).alias("_v")).join(small(words.select("word").distinct()), "word")
+    means = held.groupBy("word").agg(*(F.avg(F.col("_v")[i].cast("double")).alias(f"m{i}") for i in range(size)))
+    return means.select("word", normalise(F.array(*(F.col(f"m{i}") for i in range(size))).cast("array<double>")).alias("embedding")).where("embedding is not null")
+
+
+def keybert(candidates: DataFrame, words: DataFrame, topics: DataFrame, k: int) -> DataFrame:
+    """topic, rank, word, similarity: of each topic's candidates (topic, word) the k nearest to the topic's representative documents.
+
+    words: word, embedding; topics: topic, topic_embedding; unit vectors. Equal similarities (to eight places) go by word.
+    """
+    met = candidates.select("topic", "word").join(small(words), "word").join(small(topics), "topic")
+    scored = met.select("topic", "word", F.round(dot(F.col("embedding"), F.col("topic_embedding")), 8).alias("similarity"))
+    by = Window.partitionBy("topic").orderBy(F.desc("similarity"), "word")
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("topic", "rank", "word", "similarity")
+
+
 def hashed_vectors(frame: DataFrame, column: str, size: int = 64) -> DataFrame:
     """A unit vector of character trigrams for each word, without a model: adds embedding."""
 

@@ -503,6 +503,27 @@ def q_predict_topic(spark, d):
     return topics.nearest_topics(v, topics.centroids(v), 3, "vec_id").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    f"""WITH {fx.REVIEWS}, t AS (SELECT doc_id, topic, embedding, {fx.TOKENS.format("review")} AS tokens FROM reviews), grams AS (SELECT doc_id, topic, unnest(tokens) AS word FROM t),
+ tf AS (SELECT topic, word, count(*) AS tf FROM grams GROUP BY ALL), totals AS (SELECT topic, sum(tf) AS total FROM tf GROUP BY topic),
+ scored AS (SELECT topic, word, sqrt(tf / total) * ln(1 + (SELECT floor(avg(total)) FROM totals) / sum(tf) OVER (PARTITION BY word)) AS score FROM tf JOIN totals USING (topic)),
+ asked AS (SELECT topic, word FROM scored QUALIFY row_number() OVER (PARTITION BY topic ORDER BY round(score, 10) DESC, word DESC) <= 100),
+ flat AS (SELECT doc_id, topic, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM t),
+ centres AS (SELECT topic, list(x ORDER BY pos) AS c FROM (SELECT topic, pos, avg(x) AS x FROM flat GROUP BY ALL) GROUP BY topic),
+ reps AS (SELECT doc_id, topic FROM t JOIN centres USING (topic) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY round(list_dot_product({_UNIT.format('embedding')}, {_UNIT.format('c')}), 8) DESC, doc_id) <= 5),
+ means AS (SELECT topic, list(x ORDER BY pos) AS m FROM (SELECT topic, pos, avg(x) AS x FROM flat SEMI JOIN reps USING (doc_id, topic) GROUP BY ALL) GROUP BY topic),
+ held AS (SELECT DISTINCT doc_id, word FROM grams WHERE word IN (SELECT word FROM asked)),
+ words AS (SELECT word, list(x ORDER BY pos) AS w FROM (SELECT word, pos, avg(x) AS x FROM held JOIN flat USING (doc_id) GROUP BY ALL) GROUP BY word),
+ near AS (SELECT topic, word, round(list_dot_product({_UNIT.format('w')}, {_UNIT.format('m')}), 8) AS similarity FROM asked JOIN words USING (word) JOIN means USING (topic))
+ SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, word) AS rank, word, round(similarity, 6) AS similarity FROM near QUALIFY rank <= 10"""
+)
+def q_keybert(spark, d):
+    frame = fx.reviews(spark, d).withColumn("grams", tx.tokens(F.col("review")))
+    best = terms.top_class_terms(terms.ctfidf(frame, "grams", ["topic"]), ["topic"], 100).select("topic", F.col("term").alias("word"))
+    found = terms.keybert(best, terms.word_vectors(frame, best, "grams"), terms.representative_vectors(frame), 10)
+    return rounded(found.withColumn("rank", F.col("rank").cast("long")))
+
+
 @query(
     f"""WITH u AS (SELECT vec_id, {_UNIT.format('embedding')} AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, p.vec_id, round(list_dot_product(q.e, p.e), 8) AS similarity FROM u q, u p WHERE q.vec_id % 100 = 0 AND q.vec_id <> p.vec_id)
  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank, vec_id, similarity FROM s QUALIFY rank <= 3"""
