@@ -2,8 +2,7 @@
 
 Every vector is indexed. A shard holds a bounded number of vectors, so an index fits in a task; it is built once,
 written to the shared folder, and met by the queries in blocks. Equal vectors of a shard are one node of its graph.
-Shards are as large as a task's memory and time allow: a query looks at a number of vectors of a shard that hardly grows
-with the shard, so it looks at a smaller part of all the larger the shards are.
+Shards are of one size: every query searches every shard, and looks at about a third of its vectors.
 """
 
 from __future__ import annotations
