@@ -33,7 +33,7 @@ def build_parser() -> argparse.ArgumentParser:
     parser.add_argument("--clusters", type=int, help="of kmeans"), parser.add_argument("--nr-topics", type=int)
     parser.add_argument("--no-save", action="store_true", help="train: neither centroids nor the map, distances and hierarchy of the topics")
     parser.add_argument("--representation", choices=["ctfidf", "mmr", "keybert"])
-    parser.add_argument("--k", type=int, nargs="*", help="topic numbers of the LDA grid")
+    parser.add_argument("--k", type=int, nargs="*", help="topic numbers of the LDA grid"), parser.add_argument("--no-grid", action="store_true", help="lda: only as many topics as the run has")
     parser.add_argument("--force", action="store_true"), parser.add_argument("--agreement", action="store_true")
     parser.add_argument("--inject", help="CSV of topic, label, description, kind that replaces labels, for label")
     parser.add_argument("--text", nargs="*", help="texts, for predict")
@@ -154,7 +154,7 @@ def baseline(run: Run) -> None:
     c = run.config
     streams, vocabulary = _streams(run)
     k_main = run.read("topic_info").where("topic <> -1").count()
-    ks = run.args.k or evaluate.candidate_ks(k_main, c.k_grid)
+    ks = run.args.k or ([k_main] if run.args.no_grid else evaluate.candidate_ks(k_main, c.k_grid))
     run.save(vocabulary, "dictionary", False)
     grid, words = lda.grid_search(streams, run.read("dictionary", False), ks, c.no_below, c.no_above, c.top_words, c.passes, c.seed, models=run.path("lda_models", False))
     # beside the old tables first, which are still read
@@ -166,6 +166,7 @@ def compare(run: Run) -> None:
     """The topics, and of the LDA grid the model with as many topics and the one with the best NPMI."""
     c = run.config
     streams, vocabulary = _streams(run)
+    vocabulary = run.read("dictionary", False) if run.has("dictionary", False) else vocabulary  # of the stage lda
     runs = io.latest(run.read("runs", False)).where(F.col("tag") == run.tag)
     k_main = run.read("topic_info").where("topic <> -1").count()
     words, fits = evaluate.candidates(_topic_words(run), run.read("lda_words", False), run.read("lda_grid", False), k_main, runs.first()["fit_seconds"])
@@ -203,7 +204,9 @@ def export(run: Run) -> None:
     last = io.latest(run.read("runs", False)).where(F.col("tag") == run.tag).first()
     summary = {"tag": run.tag, "n_docs": docs.count(), "n_topics": table.count(), "sentiment": run.read("sentiment_summary").first().asDict(), "run": last.asDict()}
     summary["comparison"] = [r.asDict() for r in run.read("comparison").collect()]  # a row per model
-    tables = {"topics": table, "centroids": run.read("centroids"), "topic_distances": run.read("topic_distances"), "topic_hierarchy": run.read("topic_hierarchy"), "reviews": artifacts.reviews_with_topic(docs.drop("topic"), run.read("topics")), "vectors": run.read("topics").select("doc_id", "topic", "embedding"), "representative_reviews": run.read("representative_reviews")}
+    names = run.read("labels").select("topic", F.col("label").alias("name"))
+    chart = sentiment.diverging_data(labeling.of_kind(run.read("topic_sentiment"), run.read("labels")), names)
+    tables = {"topics": table, "subject_chart": chart, "centroids": run.read("centroids"), "topic_distances": run.read("topic_distances"), "topic_hierarchy": run.read("topic_hierarchy"), "reviews": artifacts.reviews_with_topic(docs.drop("topic"), run.read("topics")), "vectors": run.read("topics").select("doc_id", "topic", "embedding"), "representative_reviews": run.read("representative_reviews")}
     artifacts.export(run.spark, f"{run.root}/artifacts", tables, summary, artifacts.model_card(summary))
 
 
