@@ -20,12 +20,16 @@ SHARD_ROWS = 8192
 #: Components of all vectors of a shard; wider vectors make smaller shards.
 SHARD_VALUES = 1 << 24
 BLOCK_QUERIES = 8192
+MOST_PARTITIONS = 1 << 13
 DEGREE = 24
 BUILD_BEAM = 40
 SEARCH_BEAM = 128
 RELAX = 1.2
 _AT_ONCE = 3  # nodes of a beam that are expanded in one step
 _SIDE_BY_SIDE = 512  # queries that step together
+_PRUNE_PAIRS = 1 << 20  # pairs of candidates that are compared at once
+_LINKED = 512  # nodes that are linked back together
+_DONE, _NONE = np.uint64(1), np.uint64((1 << 64) - 1)
 _INDEX = "dim int, shard int, ids binary, places binary, vectors binary, graph binary"
 
 
@@ -39,73 +43,105 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
+def _keys(far: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of (distance, node); the last bit tells whether the node is expanded."""
+    bits = far.astype(np.float32).view(np.uint32)
+    rising = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+    return (rising.astype(np.uint64) << np.uint64(32)) | (node.astype(np.uint64) << np.uint64(1))
+
+
+def _node(keys: np.ndarray) -> np.ndarray:
+    return ((keys & np.uint64(0xFFFFFFFF)) >> np.uint64(1)).astype(np.int64)
+
+
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int) -> np.ndarray:
     """Node ids of each query's beam, nearest first, -1 where there are fewer; all queries step side by side."""
-    m, n = len(q), len(x)
-    ids = np.full((m, beam), -1, np.int32)
-    far = np.full((m, beam), np.inf, np.float32)
-    done = np.ones((m, beam), bool)
+    m, n, degree = len(q), len(x), graph.shape[1]
+    links = np.where(graph < 0, n, graph)
+    keys = np.full((m, beam), _NONE)
     seen = np.zeros((m, n + 1), bool)
     seen[:, n] = True
     start = entry[:beam]
-    ids[:, : len(start)] = start
-    far[:, : len(start)] = -(q @ x[start].T)
-    done[:, : len(start)] = False
+    keys[:, : len(start)] = _keys(-(q @ x[start].T), start)
+    keys.sort(axis=1)
     seen[:, start] = True
     live = np.arange(m)
     while len(live):
         # the first few nodes of each beam that are not expanded yet
-        todo = ~done[live]
+        own = keys[live]
+        todo = (own & _DONE) == 0
         rank = np.cumsum(todo, axis=1)
         pick = todo & (rank <= _AT_ONCE)
         some = pick.any(axis=1)
-        live, pick = live[some], pick[some]
+        live, own, pick, rank = live[some], own[some], pick[some], rank[some]
         if not len(live):
             break
         row, column = np.nonzero(pick)
-        done[live[row], column] = True
-        near = graph[ids[live[row], column]]
-        near = np.where(near < 0, n, near)
-        who = np.repeat(live[row], near.shape[1])
-        near = near.ravel()
-        fresh = ~seen[who, near]
-        who, near = who[fresh], near[fresh]
-        if len(who):
-            key = np.unique(who.astype(np.int64) * (n + 1) + near)  # by query; a node that two expansions share counts once
-            who, near = key // (n + 1), key % (n + 1)
-            seen[who, near] = True
-            d = -np.einsum("ij,ij->i", q[who], x[near])
-            first = np.searchsorted(who, live)
-            sizes = np.searchsorted(who, live, "right") - first
-            wide = int(sizes.max())
-            place = np.arange(len(who)) - np.repeat(first, sizes)
-            at = np.repeat(np.arange(len(live)), sizes)
-            more_ids = np.full((len(live), wide), -1, np.int32)
-            more_far = np.full((len(live), wide), np.inf, np.float32)
-            more_ids[at, place], more_far[at, place] = near, d
-            all_ids, all_far = np.concatenate([ids[live], more_ids], 1), np.concatenate([far[live], more_far], 1)
-            all_done = np.concatenate([done[live], more_ids < 0], 1)
-            order = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
-            ids[live], far[live], done[live] = (np.take_along_axis(v, order, 1) for v in (all_ids, all_far, all_done))
-    return ids
-
-
-def robust_prune(x: np.ndarray, node: int, pool: np.ndarray, degree: int, relax: float) -> np.ndarray:
-    """Nearest first; a candidate goes if a kept one is nearer to it, by the factor relax, than the node is."""
-    pool = pool[pool != node]
-    own = x[pool]
-    d = np.maximum(2 - 2 * (own @ x[node]), 0)
-    order = np.argsort(d, kind="stable")
-    pool, d, own = pool[order], d[order], own[order]
-    among = 2 - 2 * (own @ own.T)
-    alive, kept, limit = np.ones(len(pool), bool), [], relax * relax
-    for i in range(len(pool)):
-        if alive[i]:
-            kept.append(pool[i])
-            if len(kept) == degree:
-                break
-            alive &= limit * among[i] > d
-    return np.array(kept, np.int32)
+        near = links[_node(own[row, column])]
+        own[row, column] |= _DONE
+        keys[live] = own
+        at, link = np.nonzero(~seen[live[row][:, None], near])
+        who, node = live[row[at]], near[at, link]
+        seen[who, node] = True
+        more = np.full((len(live), _AT_ONCE * degree), _NONE)
+        more[row[at], (rank[row, column][at] - 1) * degree + link] = _keys(-np.einsum("ij,ij->i", q[who], x[node]), node)
+        both = np.concatenate([own, more], axis=1)
+        both.sort(axis=1)
+        np.copyto(both[:, 1:], _NONE, where=both[:, 1:] == both[:, :-1])  # a node that two expansions share counts once
+        keys[live] = both[:, :beam]
+    keys.sort(axis=1)
+    return np.where(keys == _NONE, -1, _node(keys)).astype(np.int32)
+
+
+def _distinct(pools: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Rows of node ids, sorted and padded with -1 at the end, without repeats and the row's own node."""
+    last = np.iinfo(pools.dtype).max
+    pools = np.sort(np.where((pools < 0) | (pools == own[:, None]), last, pools), axis=1)
+    pools[:, 1:][pools[:, 1:] == pools[:, :-1]] = last
+    pools.sort(axis=1)
+    return np.where(pools == last, -1, pools)
+
+
+def robust_prune(x: np.ndarray, nodes: np.ndarray, pools: np.ndarray, degree: int, relax: float) -> np.ndarray:
+    """For each node, of its pool (a row of distinct ids, -1 where there are fewer), nearest first, padded with -1.
+
+    A candidate goes if a kept one is nearer to it, by the factor relax, than the node is.
+    """
+    out, wide = np.full((len(nodes), degree), -1, np.int32), max(1, pools.shape[1])
+    for a in range(0, len(nodes), step := max(1, _PRUNE_PAIRS // (wide * wide))):
+        pool = pools[a : a + step]
+        d = np.maximum(2 - 2 * np.einsum("bpd,bd->bp", x[pool], x[nodes[a : a + step]]), 0)
+        d[pool < 0] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")
+        pool, d = np.take_along_axis(pool, order, 1), np.take_along_axis(d, order, 1)
+        own = x[pool]
+        among = (2 - 2 * (own @ own.transpose(0, 2, 1))) * np.float32(relax * relax)
+        alive, number = pool >= 0, np.zeros(len(pool), np.int64)
+        for i in range(pool.shape[1]):
+            taken = np.flatnonzero(alive[:, i] & (number < degree))
+            if len(taken):
+                out[a + taken, number[taken]] = pool[taken, i]
+                number[taken] += 1
+                alive[taken] &= among[taken, i] > d[taken]
+    return out
+
+
+def _link_back(x: np.ndarray, graph: np.ndarray, block: np.ndarray, kept: np.ndarray, degree: int, relax: float) -> None:
+    """Adds the node of each row of kept to the neighbours of those it holds, which are pruned where they are too many."""
+    row, column = np.nonzero(kept >= 0)
+    target, source = kept[row, column], block[row].astype(np.int32)
+    order = np.argsort(target, kind="stable")
+    target, source = target[order], source[order]
+    nodes, first, sizes = np.unique(target, return_index=True, return_counts=True)
+    by_size = np.argsort(sizes, kind="stable")
+    for some in np.array_split(by_size, max(1, -(-len(by_size) // _LINKED))):  # rows of like size lie together
+        wide = int(sizes[some].max(initial=0))
+        place = np.arange(wide)
+        more = np.where(place < sizes[some][:, None], source[np.minimum(first[some][:, None] + place, len(source) - 1)], -1)
+        both = _distinct(np.concatenate([graph[nodes[some]], more], axis=1), nodes[some])
+        full = (both >= 0).sum(axis=1) > degree
+        graph[nodes[some[~full]]] = both[~full][:, :degree]
+        graph[nodes[some[full]]] = robust_prune(x, nodes[some[full]], both[full], degree, relax)
 
 
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX) -> np.ndarray:
@@ -126,19 +162,9 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rel
         order = rng.permutation(n)
         for block in np.array_split(order, max(1, n // 256)):
             pools = beam_search(x, graph, entry, x[block], beam)
-            back: dict[int, list[int]] = {}
-            for i, pool in zip(block, pools):
-                kept = robust_prune(x, i, np.unique(np.concatenate([pool[pool >= 0], graph[i][graph[i] >= 0]])), degree, factor)
-                graph[i] = -1
-                graph[i, : len(kept)] = kept
-                for j in kept:
-                    back.setdefault(int(j), []).append(int(i))
-            for j, more in back.items():
-                have = graph[j][graph[j] >= 0]
-                both = np.unique(np.concatenate([have, np.array(more, np.int32)]))
-                kept = both if len(both) <= degree else robust_prune(x, j, both, degree, factor)
-                graph[j] = -1
-                graph[j, : len(kept)] = kept
+            kept = robust_prune(x, block, _distinct(np.concatenate([pools, graph[block]], axis=1), block), degree, factor)
+            graph[block] = kept
+            _link_back(x, graph, block, kept, degree, factor)
     return graph
 
 
@@ -180,6 +206,7 @@ def shards_for(total: int, dim: int, shard_rows: int = SHARD_ROWS) -> int:
 
 def build_index(vectors: DataFrame, shards: int) -> DataFrame:
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = dealt.repartition(min(8 * shards, MOST_PARTITIONS), "dim", "shard")  # so that few shards share a task, one after the other
     return saved(dealt.groupBy("dim", "shard").applyInPandas(_build, _INDEX), "graph-index")
 
 
@@ -233,6 +260,7 @@ def search(frame: DataFrame, is_query: F.Column, k: int = 5, beam: int = SEARCH_
     blocks = max(1, -(-asked.count() // block_queries))
     packed = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(_pack_queries, "dim int, block int, query_ids binary, query_vectors binary")
     met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["dim", "shard"])
+    met = met.repartition(min(8 * shards * blocks, MOST_PARTITIONS), "dim", "shard", "block")
     found = met.groupBy("dim", "shard", "block").applyInPandas(_searcher(k, beam), "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

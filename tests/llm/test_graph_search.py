@@ -71,3 +71,21 @@ def test_one_vector(spark):
 
 def test_no_vectors(spark):
     assert graph_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_nodes_are_pruned_together():
+    """All nodes of a block at once: the same neighbours as by the rule, one node and candidate after the other."""
+    rng = np.random.default_rng(3)
+    x = graph_search._unit(rng.normal(size=(400, 6)))
+    nodes = np.arange(0, 400, 2)
+    pools = graph_search._distinct(rng.integers(-1, 400, (200, 60)), nodes)
+    assert not (pools == nodes[:, None]).any()
+    for relax in (1.0, 1.2):
+        got = graph_search.robust_prune(x, nodes, pools, 7, relax)
+        for node, pool, own in zip(nodes, pools, got):
+            pool, kept = pool[pool >= 0], []
+            far = lambda a, b: np.maximum(2 - 2 * (x[a] * x[b]).sum(), 0)
+            for c in sorted(pool, key=lambda c: far(c, node)):
+                if len(kept) < 7 and all(relax * relax * far(c, k) > far(c, node) for k in kept):
+                    kept.append(c)
+            assert own[own >= 0].tolist() == kept
