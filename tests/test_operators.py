@@ -221,3 +221,11 @@ def test_embedding_reads_the_whole_text(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, tokens array<string>")
     got = topics.HashingEmbedder(max_length=Config().max_length).encode(frame).orderBy("doc_id").collect()
     assert got[0].embedding != got[1].embedding
+
+
+def test_tokens_are_made_once(spark):
+    """The filter on the number of tokens reads those that are there."""
+    reviews = spark.createDataFrame([(1, "<b>Les chats</b> dorment bien ici", 1), (2, "la", 0), (3, None, 0)], "doc_id long, review string, label int")
+    made = corpus.build_corpus(reviews, Config(min_tokens=1))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [(r.doc_id, r.tokens, r.n_tokens) for r in made.collect()] == [(1, ["chats", "dorment"], 2)]
