@@ -69,3 +69,40 @@ def test_newton_finds_the_priors():
     assert np.allclose(sharded_lda._dirichlet_step(np.ones(3), np.log(draws).sum(0), len(draws)), [0.3, 1.0, 4.0], rtol=0.05)
     draws = np.maximum(rng.dirichlet(np.full(50, 0.4), 500), 1e-300)
     assert sharded_lda._symmetric_step(1.0, float(np.log(draws).sum()), len(draws), 50) == pytest.approx(0.4, rel=0.05)
+
+
+def test_counts_stay_where_they_lie_and_bounds_are_those_of_whole_tables(spark, planted):
+    streams, _ = planted
+    counts = sharded_lda.count_cells(streams, 2, 0.9, shard_terms=16, block_docs=50)
+    # a pass sends weights to the groups of cells, which are placed once; their number depends on no product of terms and documents
+    placed = counts.cells.repartition(8, "group").persist()
+    state = counts.docs.select(F.lit("doc").alias("kind"), F.col("block").alias("id"), F.col("ids").alias("weights"))
+    plan = sharded_lda._shared_out(sharded_lda.replace(counts, cells=placed), state, np.ones(3), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("InMemoryRelation")[0].count("Exchange hashpartitioning(") == 1 and "SortMergeJoin" not in plan
+    placed.unpersist()
+    assert counts.parts == sharded_lda.PARTS and counts.rows == 1 and counts.drawn == -(-counts.n_terms // 16)
+
+    words = {r.h: r.w for r in streams.select(F.explode("grams").alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    hashes = np.sort(np.concatenate([np.frombuffer(r.hashes, np.int64) for r in counts.shards.collect()]))
+    at, docs = {words[h]: i for i, h in enumerate(hashes.tolist())}, [r.grams or [] for r in streams.collect()]
+    n = np.zeros((len(docs), len(at)))
+    for i, doc in enumerate(docs):
+        for w in doc:
+            if w in at:
+                n[i, at[w]] += 1
+    terms = np.zeros((len(at), 3))
+    for shard in range(counts.drawn):
+        own = np.mod(hashes, counts.drawn) == shard
+        terms[own] = np.random.default_rng([5, shard]).gamma(1.0, 1.0, (own.sum(), 3))
+    rest, eta, bounds = np.ones((len(docs), 3)), 1 / 3, []
+    for _ in range(3):
+        a, b = sharded_lda.digamma(rest) - sharded_lda.digamma(rest.sum(1))[:, None], sharded_lda.digamma(terms) - sharded_lda.digamma(terms.sum(0))
+        whole = np.exp(a) @ np.exp(b).T
+        gamma = sharded_lda.log_gamma
+        bound = (n * np.log(whole)).sum() + ((1 / 3 - rest) * a + gamma(rest) - gamma(1 / 3)).sum() + len(rest) * gamma(1.0) - gamma(rest.sum(1)).sum()
+        bounds.append(bound + ((eta - terms) * b + gamma(terms) - gamma(eta)).sum() + 3 * gamma(len(terms) * eta) - gamma(terms.sum(0)).sum())
+        share = n / whole
+        rest, terms = 1 / 3 + np.exp(a) * (share @ np.exp(b)), eta + np.exp(b) * (share.T @ np.exp(a))
+    # rows of groups: a bundle of blocks for each
+    for counts in (counts, sharded_lda.replace(counts, rows=2, cells=counts.cells.withColumn("group", sharded_lda._group(F.col("slice"), F.col("block"), counts.parts, 2)))):
+        assert np.allclose(sharded_lda.fit(counts, 3, 3, seed=5, learn_priors=False).bounds, bounds, rtol=1e-5)
