@@ -229,3 +229,14 @@ def test_tokens_are_made_once(spark):
     made = corpus.build_corpus(reviews, Config(min_tokens=1))
     assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert [(r.doc_id, r.tokens, r.n_tokens) for r in made.collect()] == [(1, ["chats", "dorment"], 2)]
+
+
+def test_bag_of_held_words_has_one_exchange(spark, monkeypatch):
+    rows = [(i, [f"w{i * j % 7}" for j in range(i % 9)] + ["in all"]) for i in range(60)] + [(3, ["w1", "w1", None]), (61, []), (62, None), (63, ["alone"])]
+    frame = spark.createDataFrame(rows, "doc_id long, terms array<string>").repartition(3)
+    monkeypatch.setattr(corpus, "_PACK_WORDS", 40)
+    got = corpus.bag_of_held_words(frame, "terms", 3, 0.9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, corpus.bag_of_words(frame, "terms", corpus.dictionary(frame, "terms", 3, 0.9)).select("doc_id", "term", "tf").collect()))
+    plan = corpus.bag_of_held_words(frame, "terms", 3, 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 1 and "Join" not in plan
+    assert corpus.bag_of_held_words(frame.limit(0), "terms", 1, 1.0).count() == 0
