@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 import numpy as np
 
@@ -135,6 +136,14 @@ def _merge_grid(grid: np.ndarray, pairs: PairTable) -> None:
         r[every[some], back[some]], m[every[some], back[some]] = rb[some], mb[some]
 
 
+class Numbers(dict):
+    """Word -> its number; a new word gets the next one when it is looked up."""
+
+    def __missing__(self, word) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class WordCache:
     """Word -> its ids, kept across batches in flat arrays and emptied when it holds `most` words."""
 
@@ -143,24 +152,27 @@ class WordCache:
         self._empty()
 
     def _empty(self) -> None:
-        self.at: dict = {}
+        self.at = Numbers()
         self.starts, self.counts, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
 
     def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number of ids of each word)."""
         if len(self.at) > self.most:
             self._empty()
-        missing = [w for w in dict.fromkeys(words) if w not in self.at]
-        if missing:
-            own, counts = self.encode(missing)
+        before = len(self.at)
+        k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if len(self.at) > before:
+            try:
+                own, counts = self.encode([*islice(self.at, before, None)])
+            except BaseException:
+                self._empty()  # else the new words would have numbers and no ids
+                raise
             total = len(own)
             if self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used) + total, np.int32)])
             self.flat[self.used : self.used + total] = own
-            self.at.update(zip(missing, range(len(self.at), len(self.at) + len(missing))))
             self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
             self.used += total
-        k = np.array([*map(self.at.__getitem__, words)], np.int64)
         counts = self.counts[k]
         return self.flat[ranges(self.starts[k], counts)], counts

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import PairTable, WordCache, merge_all
-from quillspark.llm.common import slices, text_buffers
+from quillspark.llm.common import slices
 
 CAPACITY = 2048
 SHARD_DOCS = 8192
@@ -36,6 +36,8 @@ def _unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in bounds.tolist()) + "]")
 
 
+#: Marks that end many words; the pattern makes one behind letters a piece of its own.
+_MARKS = frozenset(".,;:!?")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -59,6 +61,16 @@ class WordBPE:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.path, self.library, self.unknown = path, None, _unassigned()
         self.cache = WordCache(self._encode_words)
+        self.merged = WordCache(self._merge_pieces)  # the same piece comes with many capitals and marks
+
+    def _merge_pieces(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = [p.encode() for p in parts]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        flat = self.inner[raw]
+        last = np.cumsum(lengths) - 1
+        flat[last] = self.final[raw[last]]
+        return merge_all(flat, lengths, self.pairs)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words and how many each has; a word with an unknown code point has the one id -1."""
@@ -66,29 +78,27 @@ class WordBPE:
         for i, w in enumerate(words):
             if w.isascii():
                 w = w.lower()
-                if w.isalpha():
-                    parts.append(w)
-                    continue
             elif not w.isprintable() and self.unknown.search(w):  # the first is cheap; unassigned code points are not printable
                 odd.append(i)
                 parts.append("a")
                 continue
             else:
-                w = "".join([c.lower() for c in unicodedata.normalize("NFC", w)])
+                w = unicodedata.normalize("NFC", w)
+                w = "".join([c.lower() for c in w]) if "Σ" in w else w.lower()  # only that letter depends on its place
+            if w.isalpha():
+                parts.append(w)
+                continue
+            if w[-1] in _MARKS and (head := w[:-1]).isalpha():  # the pattern splits before the mark
+                per_word[i] = 2
+                parts += (head, w[-1])
+                continue
             own = self.pieces(w)
             per_word[i] = len(own)
             parts += own
-        data = [p.encode() for p in parts]
-        lengths = np.fromiter(map(len, data), np.int64, len(data))
-        raw = np.frombuffer(b"".join(data), np.uint8)
-        flat = self.inner[raw]
-        last = np.cumsum(lengths) - 1
-        flat[last] = self.final[raw[last]]
-        ids, sizes = merge_all(flat, lengths, self.pairs)
+        ids, sizes = self.merged.ids(parts)
         behind = np.concatenate([[0], np.cumsum(sizes)])
         cuts = np.concatenate([[0], np.cumsum(per_word)])
         if odd:
-            ids = ids.copy()
             ids[behind[cuts[odd]]] = -1
         return ids, np.diff(behind[cuts])
 

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import html, lines, media, near_duplicates, packing, pii, substrings, tokens, toxicity
+from quillspark.llm import bpe, html, lines, media, near_duplicates, packing, pii, substrings, tokens, toxicity
 from quillspark.llm.common import gram_hashes, sliding_min
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -232,6 +233,29 @@ def test_special_tokens_go_to_the_library():
     assert [list(x) for x in packing.word_bpe(path).encode(texts)] == [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_are_merged_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    merged = []
+    monkeypatch.setattr(packing, "merge_all", lambda flat, lengths, pairs: merged.append(len(lengths)) or bpe.merge_all(flat, lengths, pairs))
+    texts = ["Thing thing. THING, thing: thing! Thing? thing; ÉTÉ été, e\u0301te\u0301. ΟΔΟΣ ΟΔΟΣ, ΟΔΟΣΑ İa, a,b a., .a ª. 1. it's. ..", "thing"]
+    own = packing.WordBPE(path)
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in own.encode(texts)] == want
+    assert merged == [len({p for t in texts for w in packing.WordBPE._words(t) for p in own.pieces("".join(c.lower() for c in unicodedata.normalize("NFC", w)))})]
+    assert [list(x) for x in own.encode(texts)] == want and len(merged) == 1  # all known
+
+
+def test_a_failed_batch_leaves_no_numbers_without_ids():
+    cache = bpe.WordCache(lambda words: (np.array([len(w) for w in words], np.int32), np.ones(len(words), np.int64)))
+    good, cache.encode = cache.encode, lambda words: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        cache.ids(["a", "bb"])
+    cache.encode = good
+    assert cache.ids(["bb", "a", "bb"])[0].tolist() == [2, 1, 2]
+
+
 def test_every_code_point_as_the_library():
     """Each assigned or unassigned code point behind a letter, before a digit, alone and doubled in capitals."""
     from tokenizers import Tokenizer
