@@ -205,7 +205,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     """doc_id, text_hash, spans: per row with such words, the array of (from, to) word places covered by windows that start in a smaller document."""
     texts = _texts(docs).where("doc_id is not null")
     shards = max(1, -(-docs.count() // shard_docs))
-    anchors = texts.mapInArrow(_anchors(window, gram), "anchor long, doc_id long")
+    # written, so that the two uses do not hash the texts twice
+    anchors = saved(texts.mapInArrow(_anchors(window, gram), "anchor long, doc_id long"), "substring-anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     # written, so that a hot anchor can be split when it is joined
     shared = saved(shared, "substring-shared")

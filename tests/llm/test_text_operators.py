@@ -539,3 +539,16 @@ def test_pii_mask_across_chunks(spark, monkeypatch):
     want = ["a b", "[email]", "x" * 40 + " [email] [ip] é😀 [email]", "call [phone], or [ip] x [ip] x [ip]"]
     assert [r.text for r in got][:2] == want[:2] and got[3].text == want[3]
     assert got[2].text.startswith("x" * 40 + " [email] [ip] é😀 [email]")
+
+
+def test_anchors_are_made_once(spark, monkeypatch):
+    kept, calls = [], []
+    monkeypatch.setattr(substrings, "saved", lambda df, label: kept.append(label) or substrings_saved(df, label))
+    monkeypatch.setattr(substrings, "_anchors", lambda *a: calls.append(a) or anchors(*a))
+    text = " ".join(f"w{i}" for i in range(60))
+    got = substrings.dedup_substrings(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 60}
+    assert kept[0] == "substring-anchors" and len(calls) == 1
+
+
+substrings_saved, anchors = substrings.saved, substrings._anchors
