@@ -259,8 +259,11 @@ def search(frame: DataFrame, is_query: F.Column, k: int = 5, beam: int = SEARCH_
     asked = vectors.where(is_query)
     blocks = max(1, -(-asked.count() // block_queries))
     packed = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(_pack_queries, "dim int, block int, query_ids binary, query_vectors binary")
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["dim", "shard"])
-    met = met.repartition(min(8 * shards * blocks, MOST_PARTITIONS), "dim", "shard", "block")
-    found = met.groupBy("dim", "shard", "block").applyInPandas(_searcher(k, beam), "query_id long, vec_id long, score double")
+    place, tasks = ["dim", "shard", "block"], min(8 * shards * blocks, MOST_PARTITIONS)
+    # a row of packed becomes one per shard, of which Spark's estimate of its size knows nothing: it is never to be broadcast
+    asking = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(tasks, *place)
+    asked_of = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, *place)
+    met = asking.hint("merge").join(asked_of, place)
+    found = met.groupBy(*place).applyInPandas(_searcher(k, beam), "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -28,6 +28,15 @@ def test_search(spark):
     assert not set(got.query_id) & {1000, 1050, 1100, 1150}
 
 
+def test_queries_are_not_broadcast(spark):
+    """A block of queries is repeated for each shard, so that a broadcast of it would grow with the square."""
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).normal(size=(200, 4)))], "vec_id long, embedding array<double>")
+    found = graph_search.search(frame, F.col("vec_id") % 10 == 0, shard_rows=50, block_queries=10)
+    got = found.toPandas()
+    assert got.groupby("query_id").size().to_dict() == {i: 5 for i in range(0, 200, 10)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_recall_on_the_embeddings(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = frame.toPandas()
