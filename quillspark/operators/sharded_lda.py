@@ -4,7 +4,8 @@ Documents lie in blocks, terms (by their hashes) in slices; the counts of a bloc
 Cells are dealt to a grid of groups, bundles of slices by bundles of blocks, and stay there: a pass is one variational
 step, in which a group gets the expected weights of its documents and of its terms, shares out its counts among the
 topics and sums them for both. The grid has a fixed number of bundles until one would outgrow a task, so what travels in
-a pass grows as the documents and the terms do, not as their product. The sums of a block or a slice are added up in a
+a pass grows as the documents and the terms do, not as their product; beyond, it is split where least has to travel, and
+cells are compressed until they are counted, one by one. The sums of a block or a slice are added up in a
 stream, so that neither the vocabulary nor the documents are ever in one place. Both priors take Newton steps towards
 the likelihood between passes; only numbers per topic come to the driver. No step lowers the bound of the likelihood but
 by the rounding of weights, which travel in single precision.
@@ -27,8 +28,8 @@ from quillspark.sources.io import drop_kept, kept
 
 #: Most terms of a shard, whose start is drawn together.
 SHARD_TERMS = 1 << 18
-#: Most terms and entries of a bundle of slices, documents of a bundle of blocks.
-GROUP_TERMS, GROUP_ENTRIES, GROUP_DOCS = 1 << 21, 1 << 26, 1 << 22
+#: Most terms of a bundle of slices, documents of a bundle of blocks, and entries of a group, of which a task holds one.
+GROUP_TERMS, GROUP_DOCS, GROUP_ENTRIES = 1 << 21, 1 << 22, 1 << 25
 #: Most documents of a block (their places fit in 16 bits) and words at which it ends.
 BLOCK_DOCS, BLOCK_WORDS = 1 << 15, 1 << 22
 #: Slices of the hashes, by their leading bits, and bundles of slices, if these are small enough.
@@ -206,12 +207,37 @@ def count_cells(streams: DataFrame, no_below: int, no_above: float, column: str
     drop_kept(pieces)
     n_terms, entries = held.agg(F.sum(F.expr("if(block = -1, length(terms), 0)")) / 8, F.sum(F.length("n")) / 4).first()
     n_terms, entries = int(n_terms or 0), int(entries or 0)
-    parts, rows = min(SLICES, max(PARTS, -(-n_terms // GROUP_TERMS), -(-entries // GROUP_ENTRIES))), max(1, -(-n_docs // GROUP_DOCS))
+    parts, rows = grid(n_docs, n_terms, entries)
     shards = held.where("block = -1").select(F.col("slice").alias("shard"), F.col("terms").alias("hashes"))
     cells = held.where("block >= 0").select(_group(F.col("slice"), F.col("block"), parts, rows).alias("group"), "slice", "block", "terms", "df", "doc", "n")
     return Counts(cells, docs, shards, blocks, parts, rows, max(1, -(-n_terms // shard_terms)), n_docs, n_terms)
 
 
+def grid(n_docs: int, n_terms: int, entries: int) -> tuple[int, int]:
+    """Bundles of slices and of blocks whose groups hold bounded entries, documents and terms, such that the fewest weights travel."""
+    groups, least = -(-entries // GROUP_ENTRIES), -(-n_docs // GROUP_DOCS)
+    choices = [(parts, max(1, least, -(-groups // parts))) for parts in range(min(SLICES, max(PARTS, -(-n_terms // GROUP_TERMS))), SLICES + 1)]
+    return min(choices, key=lambda c: n_docs * c[0] + n_terms * c[1])
+
+
+_CELL = "group int, slice int, block long, terms binary, df binary, doc binary, n binary"
+_TYPES = {"terms": np.int32, "df": np.int32, "doc": np.uint16, "n": np.int32}
+
+
+def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells with compressed columns, each behind its size; terms by their gaps."""
+    for batch in batches:
+        for c, kind in _TYPES.items():
+            raw = [np.diff(np.frombuffer(x, kind), prepend=np.int32(0)).tobytes() if c == "terms" else x for x in batch[c]]
+            batch[c] = [len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw]
+        yield batch
+
+
+def _thick(c: str, raw: bytes) -> np.ndarray:
+    x = np.frombuffer(pa.decompress(memoryview(raw)[8:], int.from_bytes(raw[:8], "little"), "zstd"), _TYPES[c])
+    return np.cumsum(x, dtype=np.int32) if c == "terms" else x
+
+
 def _group(number: Column, block: Column, parts: int, rows: int) -> Column:
     return F.pmod(F.xxhash64(block), F.lit(rows)).cast("int") * parts + F.pmod(number, F.lit(parts)).cast("int")
 
@@ -327,7 +353,7 @@ def fit(counts: Counts, k: int, steps: int = 10 * STEPS, seed: int = 42, learn_p
 
     groups = counts.parts * counts.rows
     # more partitions than groups, as hashes of few numbers collide
-    placed = replace(counts, cells=counts.cells.repartition(4 * groups, "group").sortWithinPartitions("group").persist(StorageLevel.DISK_ONLY))
+    placed = replace(counts, cells=counts.cells.mapInPandas(_thin, _CELL).repartition(4 * groups, "group").sortWithinPartitions("group").persist(StorageLevel.DISK_ONLY))
     state = kept(counts.docs.mapInPandas(ones, _STATE).unionByName(_drawn(counts, k, seed)), "lda")
     totals = _summary(state, alpha, eta, None, counts.n_terms)["term"]
     bounds = []
@@ -354,7 +380,8 @@ def _shared_out(counts: Counts, state: DataFrame, totals: np.ndarray, k: int) ->
     """kind, id, part, value: each group's counts shared out among the topics, summed by document and by term; its words' share of the bound.
 
     Every block and every slice of the group has a row, also where it has no counts: a slice's in each row of groups, a
-    block's in each bundle of slices that holds a cell. The weights travel, the cells do not if they lie by group.
+    block's in each bundle of slices that holds a cell. The weights travel, the cells (of _thin()) do not if they lie by
+    group.
     """
 
     def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,7 +396,7 @@ def _shared_out(counts: Counts, state: DataFrame, totals: np.ndarray, k: int) ->
         known = {(kind, number): np.frombuffer(raw, np.float32).reshape(-1, k) for kind, number, raw in zip(sent["kind"], sent["id"], sent["weights"])}
         sums, bound = {name: np.zeros(x.shape, np.float32 if name[0] == "doc" else np.float64) for name, x in known.items()}, 0.0
         for number, block, terms, df, doc, n in zip(*(cells[c] for c in ("slice", "block", "terms", "df", "doc", "n"))):
-            term, each, d, c = (np.frombuffer(x, t) for x, t in ((terms, np.int32), (df, np.int32), (doc, np.uint16), (n, np.int32)))
+            term, each, d, c = (_thick(*x) for x in (("terms", terms), ("df", df), ("doc", doc), ("n", n)))
             theta, beta = known["doc", block], known["term", number]
             for_doc = sums["doc", block]
             share = theta[d].astype(np.float64) * np.repeat(beta[term], each, axis=0)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,35 @@ def test_bound_never_falls_and_topics_are_found(spark, planted, tmp_path):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_groups_are_bounded():
+    """Six times the driver's 1 GB: a task's group stays small, and the grid is split where least travels."""
+    for docs, terms, entries in ((1_230_000, 8_000_000, 700_000_000), (5_000_000, 300_000, 2_000_000_000), (100, 1_000, 0), (0, 0, 0)):
+        parts, rows = sharded_lda.grid(docs, terms, entries)
+        assert 8 <= parts <= sharded_lda.SLICES and entries <= parts * rows << 25 and docs <= rows * sharded_lda.GROUP_DOCS
+        assert all(docs * parts + terms * rows <= docs * p + terms * max(rows, -(-entries // (p << 25))) for p in (8, 16, 64, 256) if p > parts)
+    assert sharded_lda.grid(1_230_000, 8_000_000, 0) == (8, 1)
+
+
+def test_grids_give_the_same_topics(spark, planted, monkeypatch):
+    streams, _ = planted
+    found = []
+    for entries in (1 << 24, 100):
+        monkeypatch.setattr(sharded_lda, "GROUP_ENTRIES", entries)
+        counts = sharded_lda.count_cells(streams, 2, 0.9, shard_terms=16, block_docs=20)
+        found.append((counts.parts * counts.rows, sharded_lda.fit(counts, 3, 4, seed=1).bounds))
+    assert found[0][0] == 8 < 20 < found[1][0] and found[0][1] == pytest.approx(found[1][1], rel=1e-5)
+
+
+def test_thin_cells():
+    rng = np.random.default_rng(2)
+    values = {"terms": np.sort(rng.choice(1 << 20, 500, False)), "df": rng.integers(1, 4, 500), "doc": rng.integers(0, 1 << 16, 900), "n": rng.integers(1, 3, 900)}
+    values = {c: x.astype(sharded_lda._TYPES[c]) for c, x in values.items()}
+    thin = next(sharded_lda._thin(iter([pd.DataFrame({c: [x.tobytes(), b""] for c, x in values.items()})])))
+    for c, x in values.items():
+        assert (sharded_lda._thick(c, thin[c][0]) == x).all() and not len(sharded_lda._thick(c, thin[c][1]))
+    assert sum(len(thin[c][0]) for c in values) < 0.6 * sum(x.nbytes for x in values.values())
+
+
 def test_nothing_to_count(spark):
     streams = spark.createDataFrame([(["a"],), (["b"],)], "grams array<string>")
     model = sharded_lda.fit(sharded_lda.count_cells(streams, 2, 0.9), 2, 2)
